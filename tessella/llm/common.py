@@ -107,32 +107,23 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.Table | pa.RecordB
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list: rows (node long, component long), component = smallest node.
 
-    Every round lets each node hook onto its smallest neighbour, shortens the pointers, and renames the edges to the
-    pointers' ends; the edges that are left shrink until there are none. All state is in tables of the shared folder.
+    Every round lets each node hook onto its smallest neighbour and renames labels and edges by the hooks; the edges that
+    are left shrink until there are none. A star takes one round. All state is in tables of the shared folder.
     Self loops, repeated edges and an empty list are fine. Null ends are ignored.
     """
-    spark = edges.sparkSession
-    left = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    nodes = left.select("u").union(left.select("v")).distinct().select(F.col("u").alias("node"), F.col("u").alias("component"))
-    labels = materialise(nodes, "labels")
-    left = materialise(left.where("u <> v").distinct(), "edges")
-    while not left.isEmpty():
+    pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
+    left = materialise(pairs.distinct(), "edges")
+    labels = None
+    while labels is None or not left.isEmpty():
         both = left.union(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hook = both.groupBy("u").agg(F.least("u", F.min("v")).alias("p"))
-        hook = materialise(hook, "hook")
-        for _ in range(2):  # pointer jumping
-            up = hook.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-            nxt = materialise(hook.join(up, "p").select("u", F.col("pp").alias("p")), "hook")
-            discard(hook)
-            hook = nxt
-        to = hook.select(F.col("u").alias("component"), F.col("p").alias("to"))
-        new = materialise(labels.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
-        discard(labels)
-        labels = new
-        u = hook.select("u", F.col("p").alias("pu"))
-        v = hook.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        new = materialise(left.join(u, "u").join(v, "v").where("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "edges")
+        hook = materialise(both.groupBy("u").agg(F.least("u", F.min("v")).alias("p")), "hook")
+        if labels is None:
+            labels = hook.select(F.col("u").alias("node"), F.col("p").alias("component"))
+        else:
+            to = hook.select(F.col("u").alias("component"), F.col("p").alias("to"))
+            labels = materialise(labels.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+        ends = left.where("u <> v").join(hook.select("u", F.col("p").alias("pu")), "u").join(hook.select(F.col("u").alias("v"), F.col("p").alias("pv")), "v")
+        new = materialise(ends.where("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "edges")
         discard(left)
-        discard(hook)
         left = new
     return labels

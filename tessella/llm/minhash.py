@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import components, discard, map_arrow, materialise, text_chunks, with_rows
@@ -33,7 +33,7 @@ from tessella.llm.hashing import min_hashes, set_keys, shingle_sets
 COORDINATES, ROWS_EACH = 32, 4
 MIN_COLLISIONS = 2
 PERCENT = 75
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 
 
 def _features(batch: pa.RecordBatch) -> pa.Table:
@@ -81,66 +81,65 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
             both = len(np.intersect1d(a, b, assume_unique=True))
             keep.append(100 * both >= PERCENT * (len(a) + len(b) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        yield batch.select(["ca", "cb"]).filter(pa.array(keep, pa.bool_()))
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of representatives that reach the similarity on their full sets."""
+    """The pairs (a, b) of representatives that reach the similarity on their full sets; ca and cb, their components, go along."""
     a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(_verified, "a long, b long")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "ca", "cb", "sa", "sb").mapInArrow(_verified, "ca long, cb long")
 
 
 def _sizes_fit() -> str:
     return f"100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)"
 
 
+def _candidates(lists: DataFrame, pivots: bool, salt: int) -> DataFrame:
+    """Pairs (a, b, ca, cb) of different components over the match threshold, from lists (list, rep, n, component).
+
+    With pivots, each member is only held against one member of each of its lists, and of those it collides with most.
+    """
+    pivot = F.min_by(F.struct("rep", "n", "component"), F.xxhash64("rep", F.lit(salt)))
+    mixed = lists.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), pivot.alias("y")).where("lo <> hi")
+    if pivots:
+        both = lists.alias("x").join(mixed.select("list", "y"), "list").where(F.expr(f"x.component <> y.component AND {_sizes_fit()}"))
+    else:
+        own = lists.join(mixed.select("list"), "list", "left_semi")
+        both = own.alias("x").join(own.alias("y"), F.expr(f"x.list = y.list AND x.rep < y.rep AND x.component <> y.component AND {_sizes_fit()}"))
+    pairs = both.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.count("*").alias("c"), F.min("x.component").alias("ca"), F.min("y.component").alias("cb")).where(f"c >= {MIN_COLLISIONS}")
+    if pivots:
+        pairs = pairs.groupBy("a").agg(F.max_by(F.struct("b", "ca", "cb"), F.struct("c", -F.col("b"))).alias("x")).select("a", "x.*")
+    return pairs.select("a", "b", "ca", "cb")
+
+
 def links(docs: DataFrame, feats: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) between representatives of different sets, enough of them to connect every component, and the classes.
+    """Components (rep, component) of the representatives that collide with others, and the classes (k1, k2, n, rep).
 
-    The classes are rows (k1, k2, n, rep): rep is the smallest document of the set.
+    rep is the smallest document of a set.
     """
     classes = materialise(feats.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "classes")
     posted = materialise(map_arrow(classes.select("rep", "n", "sig"), _postings, "list long, rep long, n long"), "posted")
     shared = posted.groupBy("list").agg(F.count("*").alias("c")).where("c > 1").select("list")
-    lists = materialise(posted.join(shared, "list"), "lists")
+    lists = materialise(posted.join(shared, "list").withColumn("component", F.col("rep")), "lists")
     discard(posted)
     wanted = lists.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select(F.col("_row").alias("doc_id"), "text")
     sets = materialise(map_arrow(texts.join(wanted, "doc_id", "left_semi"), _sets, "rep long, shingles binary"), "sets")
-    found = None
-    comps = lists.select(F.col("rep").alias("node"), F.col("rep").alias("component")).distinct()
     for r in range(PIVOT_ROUNDS + 1):
-        now = lists.join(comps.withColumnRenamed("node", "rep"), "rep")
-        mixed = now.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("rep", F.xxhash64("rep", F.lit(r))).alias("pivot")).where("lo <> hi")
-        mixed = materialise(mixed.select("list", "pivot"), "mixed")
-        x = now.join(mixed, "list").select("list", "rep", "n", "component", "pivot").alias("x")
-        y = now.join(mixed.select("list"), "list", "left_semi").select("list", "rep", "n", "component").alias("y")
-        if r < PIVOT_ROUNDS:
-            pairs = x.join(y, F.expr(f"x.list = y.list AND x.pivot = y.rep AND x.component <> y.component AND {_sizes_fit()}")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-            pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c")).where(f"c >= {MIN_COLLISIONS}")
-            best = Window.partitionBy("a").orderBy(F.desc("c"), "b")
-            pairs = pairs.withColumn("k", F.row_number().over(best)).where("k = 1")
-        else:
-            pairs = x.join(y, F.expr(f"x.list = y.list AND x.rep < y.rep AND x.component <> y.component AND {_sizes_fit()}")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-            pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c")).where(f"c >= {MIN_COLLISIONS}")
-        new = materialise(verify(pairs, sets), "links")
-        found = new if found is None else found.union(new)
-        none = new.isEmpty()
-        if not none:
-            comps = components(found.union(lists.select(F.col("rep").alias("a"), F.col("rep").alias("b"))))
-        discard(mixed)
-        if none and r < PIVOT_ROUNDS - 1:  # pivots find no more: finish with what is left
+        new = materialise(verify(_candidates(lists, r < PIVOT_ROUNDS, r), sets), "links")
+        if new.isEmpty():
             continue
+        to = components(new, "ca", "cb").toDF("component", "to")
+        lists = materialise(lists.join(to, "component", "left").select("list", "rep", "n", F.coalesce("to", "component").alias("component")), "lists")
     discard(sets)
-    return found, classes
+    return lists.select("rep", "component").distinct(), classes
 
 
 def clusters(docs: DataFrame) -> DataFrame:
     """_row, n_shingles, component (the smallest _row linked to it, over any steps) of every row of a table with _row."""
     feats = materialise(features(docs), "features")
-    found, classes = links(docs, feats)
-    comps = components(found).withColumnRenamed("node", "rep")
+    comps, classes = links(docs, feats)
     label = classes.select("k1", "k2", "n", "rep").join(comps, "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     joined = feats.select(F.col("doc_id").alias("_row"), "n", "k1", "k2").join(label, ["k1", "k2", "n"], "left")
     return joined.select("_row", F.col("n").alias("n_shingles"), F.coalesce("component", "_row").alias("component"))
