@@ -1,0 +1,55 @@
+"""Hybrid recommendation: candidates, fused scores, diversification and one-line reasons, set at a time."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tessella.functions import classify, scoring
+from tessella.operators import lexical
+
+CANDIDATES = 40
+DIVERSE_CONFIDENCE = 35
+
+
+def candidates(scored: DataFrame, keys: list[str], key: str, score: str, most: int = CANDIDATES) -> DataFrame:
+    """The best rows of one source for each message."""
+    return lexical.top_k(scored, keys, [F.desc(score), F.asc(key)], most).drop("rank")
+
+
+def diversified(ranked: DataFrame, keys: list[str], group: str, n: int = 3) -> DataFrame:
+    """The best row, then the best row of each group not seen, where it has the confidence, then the rest by rank; n rows."""
+    inner = Window.partitionBy(*keys, group).orderBy("rank")
+    promoted = (F.col("rank") > 1) & (F.row_number().over(inner) == 1) & (F.col("confidence") >= DIVERSE_CONFIDENCE)
+    order = F.when(F.col("rank") == 1, 0).when(F.col("promoted"), 1).otherwise(2)
+    out = ranked.withColumn("promoted", promoted).withColumn("slot", F.row_number().over(Window.partitionBy(*keys).orderBy(order, "rank")).cast("long"))
+    return out.where(F.col("slot") <= n).drop("promoted")
+
+
+def reason(terms: Column, intent: Column) -> Column:
+    """One sentence of at most 160 characters."""
+    about = F.when(intent.isNotNull() & (intent != "general"), F.concat(F.lit("about "), F.regexp_replace(intent, "_", " "))).otherwise(F.lit(None))
+    shared = F.when(F.size(terms) > 0, F.concat(F.lit("shares "), F.array_join(F.slice(terms, 1, 6), ", ")))
+    return F.substring(F.coalesce(F.concat_ws("; ", about, shared), F.lit("")), 1, 160)
+
+
+def recommend(messages: DataFrame, library: DataFrame, keys: list[str], key: str, n: int = 3, text: str = "text", group: str = "source") -> DataFrame:
+    """keys, key, slot, rank, lexical, combined, confidence, no_match, reason: the n best library rows of each message."""
+    index = lexical.postings(library, key, F.col(text))
+    asked = lexical.query_terms(messages, keys, F.col(text))
+    scored = lexical.bm25(index, asked, key, keys)
+    best = candidates(scored, keys, key, "bm25")
+    best = best.withColumn("best", F.max("bm25").over(Window.partitionBy(*keys)))
+    top = F.element_at(classify.intent_scores(F.col(text)), 1)
+    asked_for = messages.select(*keys, top.alias("intent"))
+    rows = best.join(asked_for, keys).join(library.select(key, group), key)
+    lex = scoring.lexical(F.col("bm25"), F.col("best"))
+    rows = rows.select(*keys, key, group, "intent", lex.alias("lexical"))
+    rows = rows.withColumn("combined", scoring.combined(F.lit(None).cast("double"), F.col("lexical"), F.when(F.col("intent.intent") == "general", 0.0).otherwise(F.col("intent.score")), F.lit(0.0)))
+    rows = rows.withColumn("confidence", scoring.confidence(F.col("combined")))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("combined"), key)).cast("long"))
+    slots = diversified(ranked, keys, group, n)
+    shared = index.join(asked, "term").join(slots.select(*keys, key), [*keys, key], "left_semi").groupBy(*keys, key).agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    out = slots.join(shared, [*keys, key], "left")
+    no_match = F.max("confidence").over(Window.partitionBy(*keys)) < scoring.NO_MATCH_BELOW
+    return out.select(*keys, key, "slot", "rank", scoring.rounded(F.col("lexical")).alias("lexical"), scoring.rounded(F.col("combined")).alias("combined"), "confidence", no_match.alias("no_match"), reason(F.coalesce("terms", F.array().cast("array<string>")), F.col("intent.intent")).alias("reason"))
