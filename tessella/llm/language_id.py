@@ -22,11 +22,11 @@ from pyspark.sql import types as T
 
 from tessella.llm.common import map_arrow, text_chunks
 
-ORDERS = (1, 2, 3)
+ORDERS = (2, 3)
 BITS = 16
 ALPHA = 0.1
 #: Bound on the documents that the matrix is fitted on: all eligible ones up to it, else a sample by hash of the id.
-TRAIN_DOCS = 40_000
+TRAIN_DOCS = 8_000
 UND = "und"
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint64)
 

@@ -13,7 +13,9 @@ empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -33,6 +35,9 @@ END_ID = 2
 GROUP_PIECES = 4096
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 300_000
+#: White space beside a space, and rarer kinds of white space: such texts are encoded whole.
+_SPACE_RUNS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
+_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class WordEncoder:
@@ -55,15 +60,15 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.ordinary(text), "<u4").tobytes()
+        return array("I", self.ordinary(text)).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if self.special in text:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.split(" ")
-        if "" in words or any(w[0].isspace() or w[-1].isspace() for w in words):
+        if _OTHER_SPACE.search(text) or any(x in text for x in _SPACE_RUNS) or text[:1].isspace() or text[-1:].isspace():
             return self._ids(text)
+        words = text.split(" ")
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
