@@ -82,7 +82,7 @@ def decode_bytes(content: Column) -> Column:
 
 def clean_list(value: Column, most: int = 50) -> Column:
     """Items of a comma list: trimmed, without empty ones and repeats in other case, at most `most`."""
-    items = F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), "[,;]"), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
     once = F.filter(items, lambda x, i: F.array_position(F.transform(items, F.lower), F.lower(x)) == i + 1)
     return F.slice(once, 1, most)
 
