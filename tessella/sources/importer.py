@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from tessella.functions.text import title_key
 
@@ -73,11 +75,21 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return parse_blocks(spark.read.text(path, wholetext=True))
 
 
-def decode_bytes(content: Column) -> Column:
-    """UTF-8, else UTF-16 by its mark, else Windows-1252."""
-    mark = F.hex(F.substring(content, 1, 2))
-    utf8 = F.call_function("try_validate_utf8", content.cast("string"))
-    return F.when(mark.isin("FFFE", "FEFF"), F.decode(content, "UTF-16")).otherwise(F.coalesce(utf8, F.decode(content, "windows-1252")))
+@pandas_udf(T.StringType())
+def decode_bytes(content: pd.Series) -> pd.Series:
+    """Text of raw files: UTF-16 by its mark, else UTF-8, else Windows-1252, which Spark's own decode doesn't offer."""
+
+    def one(data: bytes | None) -> str | None:
+        if data is None:
+            return None
+        if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+            return data.decode("utf-16", "replace")
+        try:
+            return data.decode("utf-8-sig")
+        except UnicodeDecodeError:
+            return data.decode("cp1252", "replace")
+
+    return content.map(one)
 
 
 def clean_list(value: Column, most: int = 50) -> Column:
