@@ -44,7 +44,8 @@ def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
             for s in same[1:]:
                 m = m.bitwiseOR(s)
             packed = F.struct(m.alias("m"))
-            return F.element_at(F.transform(F.array(packed), lambda q: _advance(state, q["m"], names, mask)), 1)
+            moved = F.element_at(F.transform(F.array(packed), lambda q: _advance(state, q["m"], names, mask)), 1)
+            return F.when(state[names[-1]] == 0, state).otherwise(moved)  # no diagonal is left: nothing can become reachable
 
         n, k = F.size(p["x"]), F.size(p["y"])
         end = F.aggregate(F.sequence(F.lit(0), k - 1), F.struct(*begin), step)
@@ -104,20 +105,18 @@ def kept_lines(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     same = _lines(texts).where(judged).groupBy(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("h2")).agg(F.min(F.struct("_row", "i")).alias("at"))
     firsts = materialise(same.select(F.xxhash64("h", "h2").alias("h"), "at._row", "at.i"), "firsts")
 
-    def of(numbers: DataFrame) -> DataFrame:
-        """The lines of a table of (_row, i), with their hashes."""
-        listed = numbers.groupBy("_row").agg(F.collect_list("i").alias("numbers"))
-        got = _lines(texts.join(listed, "_row"), "numbers").where(F.array_contains("numbers", F.col("i")))
-        return got.select(F.xxhash64(F.xxhash64("line"), F.xxhash64(F.lit(7), "line")).alias("h"), "line", F.char_length("line").alias("n"))
-
-    lines = of(firsts)
+    listed = firsts.groupBy("_row").agg(F.collect_list("i").alias("numbers"))
+    got = _lines(texts.join(listed, "_row"), "numbers").where(F.array_contains("numbers", F.col("i")))
+    hashed = F.xxhash64(F.xxhash64("line"), F.xxhash64(F.lit(7), "line")).alias("h")
+    lines = materialise(got.select(hashed, "line", F.char_length("line").alias("n")), "lines")
     index, probe = segment_keys(lines, edits), probe_keys(lines, edits)
     pairs = index.join(probe, "key").where("h <> h_p").select(F.least("h", "h_p").alias("a"), F.greatest("h", "h_p").alias("b"))
     pairs = materialise(pairs.distinct(), "pairs")
     a, b = (firsts.select(F.col("h").alias(x), F.struct("_row", "i").alias(f"at_{x}")) for x in "ab")
     places = pairs.join(a, "a").join(b, "b")
-    wanted = places.select(F.explode(F.array("at_a", "at_b")).alias("at")).select("at.*").distinct()
-    texts_of = materialise(of(wanted).select("h", "line"), "lines")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    texts_of = materialise(lines.select("h", "line").join(wanted, "h", "left_semi"), "paired")
+    discard(lines)
     la, lb = (texts_of.select(F.col("h").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
     near = places.join(la, "a").join(lb, "b").where(within_edits(F.col("la"), F.col("lb"), edits))
     later = materialise(near.select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("h")).distinct(), "later")
