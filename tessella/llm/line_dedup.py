@@ -25,11 +25,24 @@ EDITS = 2
 MIN_CHARS = 25
 
 
+def _without_prefix(pair: Column) -> Column:
+    """A struct of two strings (a, b), turned round, without what both begin with (up to 4,095 code points of it)."""
+    a, b = pair["a"], pair["b"]
+    shorter = F.least(F.char_length(a), F.char_length(b))
+
+    def longer(p: Column, s: Column) -> Column:
+        same = F.substring(a, p + 1, s) == F.substring(b, p + 1, s)
+        return F.when((p + s <= shorter) & same, p + s).otherwise(p)
+
+    common = F.aggregate(F.array(*[F.lit(1 << k) for k in range(11, -1, -1)]), F.lit(0), longer)
+    rest = lambda c: lambda p: F.reverse(F.substring(c, p + 1, F.char_length(c)))
+    cut = F.transform(F.array(common), lambda p: F.struct(rest(a)(p).alias("a"), rest(b)(p).alias("b")))
+    return F.element_at(cut, 1)
+
+
 def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
-    """Whether two strings are within so many edits, by bits over the diagonals of the band."""
+    """Whether two strings are within so many edits, by bits over the diagonals of the band, once their common ends are cut off."""
     mask = (1 << (2 * edits + 1)) - 1
-    x, y = F.split(a, ""), F.split(b, "")
-    lines = F.struct(x.alias("x"), y.alias("y"))
     names = [f"r{k}" for k in range(edits + 1)]
     begin, bits = [], 1 << edits
     for name in names:
@@ -53,8 +66,13 @@ def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
         reached = F.when((bit >= 0) & (bit <= 2 * edits), F.expr("1")).otherwise(0)
         return (reached == 1) & (F.call_function("shiftright", end[names[-1]], bit).bitwiseAND(1) == 1)
 
-    empty = (F.length(a) == 0) | (F.length(b) == 0)
-    return F.when(empty, F.length(a) + F.length(b) <= edits).otherwise(F.element_at(F.transform(F.array(lines), run), 1))
+    def judge(q: Column) -> Column:
+        lengths = F.char_length(q["a"]), F.char_length(q["b"])
+        lines = F.struct(F.split(q["a"], "").alias("x"), F.split(q["b"], "").alias("y"))
+        return F.when(F.least(*lengths) == 0, F.greatest(*lengths) <= edits).otherwise(F.element_at(F.transform(F.array(lines), run), 1))
+
+    cut = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), _without_prefix)
+    return F.element_at(F.transform(F.transform(cut, _without_prefix), judge), 1)
 
 
 def _advance(state: Column, m: Column, names: list[str], mask: int) -> Column:
