@@ -7,6 +7,8 @@ Lines shorter than MIN_CHARS code points are never judged.
 2. Segment index: a line is cut into EDITS + 1 segments, of which an edit each can spoil only EDITS. A line within EDITS
    edits of it therefore holds one segment unchanged, at a place that the length difference and the segment's number bound.
    Indexed segments and probed substrings are keyed by (length, segment number, substring) hashes and joined on the key.
+   Where more than CROWD lines hold the same segment, as long near copies of each other do, the join also compares the
+   parities of the lines' character counts, of which an edit changes two at most; pairs that differ by whole words end there.
 3. Verification: a banded bit-parallel edit distance. Of the 2 * EDITS + 1 diagonals around the main one, an integer for each
    number of edits has the bits of those that are reachable; a character of one line moves all diagonals at once.
 
@@ -23,6 +25,8 @@ from tessella.llm.common import discard, materialise, with_rows
 
 EDITS = 2
 MIN_CHARS = 25
+#: A key under which more lines than this are indexed is crowded.
+CROWD = 2
 
 
 def _without_prefix(pair: Column) -> Column:
@@ -112,6 +116,33 @@ def probe_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     return each.select(F.col("h").alias("h_p"), key.alias("key")).where("key IS NOT NULL")
 
 
+def parity(line: Column) -> Column:
+    """A bit for each of 64 classes of characters: whether the line has an odd number of them. An edit flips two bits at most."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c).bitwiseAND(63))
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(bit(c)))
+
+
+def candidates(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """Pairs (a, b) of the lines (h, line, n) that hold a segment of each other; under crowded keys, those of fitting parities."""
+    index, probe = segment_keys(lines, edits), probe_keys(lines, edits)
+    crowded = materialise(index.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("key"), "crowded")
+    # a crowded key has a single row in the index, without a line: it tells which lines probe such keys, each indexed line among them
+    listed = index.join(crowded, "key", "left_anti").select("h", "key").union(crowded.select(F.lit(None).cast("long").alias("h"), "key"))
+    met = materialise(listed.join(probe, "key").where("h IS NULL OR h <> h_p").select("h", "h_p", "key"), "met")
+    probes = met.where("h IS NULL").select("h_p", "key")
+    under = lines.join(probes.select(F.col("h_p").alias("h")).distinct(), "h", "left_semi")
+    bits = materialise(under.select("h", parity(F.col("line")).alias("bits")), "parities")
+    x = index.join(crowded, "key", "left_semi").join(bits, "h")
+    y = probes.join(bits.select(F.col("h").alias("h_p"), F.col("bits").alias("bits_p")), "h_p")
+    fits = (F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_p"))) <= 2 * edits) & (F.col("h") != F.col("h_p"))
+    dense = x.join(y, (x["key"] == y["key"]) & fits).select("h", "h_p")
+    both = met.where("h IS NOT NULL").select("h", "h_p").union(dense)
+    pairs = materialise(both.select(F.least("h", "h_p").alias("a"), F.greatest("h", "h_p").alias("b")).distinct(), "pairs")
+    for done in (met, crowded, bits):
+        discard(done)
+    return pairs
+
+
 def _lines(texts: DataFrame, *more: str) -> DataFrame:
     return texts.select("_row", *more, F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
 
@@ -127,9 +158,7 @@ def kept_lines(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     got = _lines(texts.join(listed, "_row"), "numbers").where(F.array_contains("numbers", F.col("i")))
     hashed = F.xxhash64(F.xxhash64("line"), F.xxhash64(F.lit(7), "line")).alias("h")
     lines = materialise(got.select(hashed, "line", F.char_length("line").alias("n")), "lines")
-    index, probe = segment_keys(lines, edits), probe_keys(lines, edits)
-    pairs = index.join(probe, "key").where("h <> h_p").select(F.least("h", "h_p").alias("a"), F.greatest("h", "h_p").alias("b"))
-    pairs = materialise(pairs.distinct(), "pairs")
+    pairs = candidates(lines, edits)
     a, b = (firsts.select(F.col("h").alias(x), F.struct("_row", "i").alias(f"at_{x}")) for x in "ab")
     places = pairs.join(a, "a").join(b, "b")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
