@@ -122,25 +122,26 @@ def parity(line: Column) -> Column:
     return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(bit(c)))
 
 
-def candidates(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Pairs (a, b) of the lines (h, line, n) that hold a segment of each other; under crowded keys, those of fitting parities."""
+def candidates(lines: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of the lines (h, line, n) that hold a segment of each other and have fitting parities, and the lines (h, line) of these and some more."""
     index, probe = segment_keys(lines, edits), probe_keys(lines, edits)
     crowded = materialise(index.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("key"), "crowded")
     # a crowded key has a single row in the index, without a line: it tells which lines probe such keys, each indexed line among them
     listed = index.join(crowded, "key", "left_anti").select("h", "key").union(crowded.select(F.lit(None).cast("long").alias("h"), "key"))
     met = materialise(listed.join(probe, "key").where("h IS NULL OR h <> h_p").select("h", "h_p", "key"), "met")
-    probes = met.where("h IS NULL").select("h_p", "key")
-    under = lines.join(probes.select(F.col("h_p").alias("h")).distinct(), "h", "left_semi")
-    bits = materialise(under.select("h", parity(F.col("line")).alias("bits")), "parities")
-    x = index.join(crowded, "key", "left_semi").join(bits, "h")
-    y = probes.join(bits.select(F.col("h").alias("h_p"), F.col("bits").alias("bits_p")), "h_p")
+    wanted = met.select(F.explode(F.array("h", "h_p")).alias("h")).where("h IS NOT NULL").distinct()
+    held = materialise(lines.join(wanted, "h", "left_semi").select("h", "line", parity(F.col("line")).alias("bits")), "held")
+    bits = held.select("h", "bits")
+    bits_p = held.select(F.col("h").alias("h_p"), F.col("bits").alias("bits_p"))
     fits = (F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_p"))) <= 2 * edits) & (F.col("h") != F.col("h_p"))
+    x = index.join(crowded, "key", "left_semi").join(bits, "h")
+    y = met.where("h IS NULL").select("h_p", "key").join(bits_p, "h_p")
     dense = x.join(y, (x["key"] == y["key"]) & fits).select("h", "h_p")
-    both = met.where("h IS NOT NULL").select("h", "h_p").union(dense)
-    pairs = materialise(both.select(F.least("h", "h_p").alias("a"), F.greatest("h", "h_p").alias("b")).distinct(), "pairs")
-    for done in (met, crowded, bits):
-        discard(done)
-    return pairs
+    sparse = met.where("h IS NOT NULL").select("h", "h_p").distinct().join(bits, "h").join(bits_p, "h_p").where(fits).select("h", "h_p")
+    pairs = materialise(dense.union(sparse).select(F.least("h", "h_p").alias("a"), F.greatest("h", "h_p").alias("b")).distinct(), "pairs")
+    discard(met)
+    discard(crowded)
+    return pairs, held.select("h", "line")
 
 
 def _lines(texts: DataFrame, *more: str) -> DataFrame:
@@ -158,16 +159,14 @@ def kept_lines(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     got = _lines(texts.join(listed, "_row"), "numbers").where(F.array_contains("numbers", F.col("i")))
     hashed = F.xxhash64(F.xxhash64("line"), F.xxhash64(F.lit(7), "line")).alias("h")
     lines = materialise(got.select(hashed, "line", F.char_length("line").alias("n")), "lines")
-    pairs = candidates(lines, edits)
+    pairs, held = candidates(lines, edits)
+    discard(lines)
     a, b = (firsts.select(F.col("h").alias(x), F.struct("_row", "i").alias(f"at_{x}")) for x in "ab")
     places = pairs.join(a, "a").join(b, "b")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    texts_of = materialise(lines.select("h", "line").join(wanted, "h", "left_semi"), "paired")
-    discard(lines)
-    la, lb = (texts_of.select(F.col("h").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
+    la, lb = (held.select(F.col("h").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
     near = places.join(la, "a").join(lb, "b").where(within_edits(F.col("la"), F.col("lb"), edits))
     later = materialise(near.select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("h")).distinct(), "later")
-    discard(texts_of)
+    discard(held)
     discard(pairs)
     return materialise(firsts.join(later, "h", "left_anti").groupBy("_row").agg(F.collect_list("i").alias("kept")), "kept")
 
