@@ -8,7 +8,7 @@
 3. Counting. Collisions of a pair are counted over the posting lists; as two collisions are needed, the last coordinate
    need not be probed (prefix), and a list whose members already have one component is skipped. Pairs over the match
    threshold are verified on full sets: 100 * intersection >= 75 * union.
-4. A long posting list isn't expanded into its pairs at once: in the first rounds each member is compared to one pivot
+4. A long posting list isn't expanded into its pairs at once: in the first rounds each member is compared to a few pivots
    of its lists only, and the components of the links found are joined. What is left are lists that still mix
    components; of these all pairs between different components are counted. So no link between components is lost, and
    a group of thousands of copies costs a few comparisons a member.
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import components, discard, map_arrow, materialise, text_chunks, with_rows
@@ -33,7 +33,7 @@ from tessella.llm.hashing import min_hashes, set_keys, shingle_sets
 COORDINATES, ROWS_EACH = 32, 4
 MIN_COLLISIONS = 2
 PERCENT = 75
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS, PIVOTS_EACH = 2, 4
 
 
 def _features(batch: pa.RecordBatch) -> pa.Table:
@@ -98,7 +98,7 @@ def _sizes_fit() -> str:
 def _candidates(lists: DataFrame, pivots: bool, salt: int) -> DataFrame:
     """Pairs (a, b, ca, cb) of different components over the match threshold, from lists (list, rep, n, component).
 
-    With pivots, each member is only held against one member of each of its lists, and of those it collides with most.
+    With pivots, each member is only held against one member of each of its lists, and of those against PIVOTS_EACH with most collisions.
     """
     pivot = F.min_by(F.struct("rep", "n", "component"), F.xxhash64("rep", F.lit(salt)))
     mixed = lists.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), pivot.alias("y")).where("lo <> hi")
@@ -109,7 +109,8 @@ def _candidates(lists: DataFrame, pivots: bool, salt: int) -> DataFrame:
         both = own.alias("x").join(own.alias("y"), F.expr(f"x.list = y.list AND x.rep < y.rep AND x.component <> y.component AND {_sizes_fit()}"))
     pairs = both.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.count("*").alias("c"), F.min("x.component").alias("ca"), F.min("y.component").alias("cb")).where(f"c >= {MIN_COLLISIONS}")
     if pivots:
-        pairs = pairs.groupBy("a").agg(F.max_by(F.struct("b", "ca", "cb"), F.struct("c", -F.col("b"))).alias("x")).select("a", "x.*")
+        best = Window.partitionBy("a").orderBy(F.desc("c"), "b")  # a member has COORDINATES / MIN_COLLISIONS rows at most
+        pairs = pairs.withColumn("place", F.row_number().over(best)).where(f"place <= {PIVOTS_EACH}")
     return pairs.select("a", "b", "ca", "cb")
 
 
