@@ -33,7 +33,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tessella-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Writes a table into the shared folder and reads it again: cuts lineage, survives a lost executor.
 
     The shuffle files behind the table are then of no use; Spark deletes those when the driver's JVM collects the plans, so
@@ -41,7 +41,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 

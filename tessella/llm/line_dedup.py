@@ -130,7 +130,7 @@ def candidates(lines: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFra
     listed = index.join(crowded, "key", "left_anti").select("h", "key").union(crowded.select(F.lit(None).cast("long").alias("h"), "key"))
     met = materialise(listed.join(probe, "key").where("h IS NULL OR h <> h_p").select("h", "h_p", "key"), "met")
     wanted = met.select(F.explode(F.array("h", "h_p")).alias("h")).where("h IS NOT NULL").distinct()
-    held = materialise(lines.join(wanted, "h", "left_semi").select("h", "line", parity(F.col("line")).alias("bits")), "held")
+    held = materialise(lines.join(wanted, "h", "left_semi").select("h", "line", parity(F.col("line")).alias("bits")), "held", "zstd")
     bits = held.select("h", "bits")
     bits_p = held.select(F.col("h").alias("h_p"), F.col("bits").alias("bits_p"))
     fits = (F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_p"))) <= 2 * edits) & (F.col("h") != F.col("h_p"))
@@ -158,7 +158,7 @@ def kept_lines(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     listed = firsts.groupBy("_row").agg(F.collect_list("i").alias("numbers"))
     got = _lines(texts.join(listed, "_row"), "numbers").where(F.array_contains("numbers", F.col("i")))
     hashed = F.xxhash64(F.xxhash64("line"), F.xxhash64(F.lit(7), "line")).alias("h")
-    lines = materialise(got.select(hashed, "line", F.char_length("line").alias("n")), "lines")
+    lines = materialise(got.select(hashed, "line", F.char_length("line").alias("n")), "lines", "zstd")
     pairs, held = candidates(lines, edits)
     discard(lines)
     a, b = (firsts.select(F.col("h").alias(x), F.struct("_row", "i").alias(f"at_{x}")) for x in "ab")
