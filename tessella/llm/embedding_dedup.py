@@ -8,6 +8,7 @@
    shards are united.
 4. Every vector is searched in its home shard, over the united lists: a greedy search from the medoid, then, as long as members
    within the threshold are found, their neighbours too (range expansion). Every link is verified in double precision.
+   The links of all shards, each once, are counted, and all of them are the edges of the components.
 5. Audit: vectors whose number is divisible by 20 are compared with the whole shard; a shard that misses a link of
    these is searched again with four times the beam, then compared whole. The recall before that is returned.
 
@@ -140,7 +141,7 @@ def _adjacency(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _searched(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Of each vector whose home the shard is: linked weight and the smallest linked representative; and what it adds to vectors that don't see it."""
+    """All links (a, b), a < b, found from the vectors whose home the shard is; and a row (a, null) with the audit of each audited vector."""
     pdf = pdf.sort_values("rep", ignore_index=True)
     x, reps, shard = _unit(pdf), pdf["rep"].to_numpy(), int(pdf["shard"].iloc[0])
     place = {r: i for i, r in enumerate(reps.tolist())}
@@ -159,19 +160,12 @@ def _searched(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
         found = search(4 * BEAM)
         if any(truth[p] - found[p] for p in sample):
             found = {p: set(np.flatnonzero(x @ x[p] >= threshold).tolist()) - {p} for p in mine}
-    home, shards, n = pdf["home"].to_numpy(), pdf["all"].to_list(), pdf["n"].to_numpy()
     at_home = set(mine)
-    for p in mine:
-        for o in list(found[p]):
-            if o in at_home:
-                found[o].add(p)
-    rows = []
-    for p in mine:
-        for o in found[p]:
-            if o not in at_home and home[o] not in shards[p]:  # o's own search can't see p
-                rows.append((reps[o], n[p], min(reps[p], reps[o]), 0, 0))
-        rows.append((reps[p], sum(n[o] for o in found[p]), min([reps[p], *[reps[o] for o in found[p]]]), len(truth.get(p, ())), len(truth.get(p, set()) & found[p])))
-    return pd.DataFrame(rows, columns=["rep", "weight", "least", "audited", "hit"])
+    here = [(p, o) for p in mine for o in found[p] if p < o or o not in at_home or p not in found[o]]
+    one, two = reps[[p for p, _ in here]], reps[[o for _, o in here]]
+    links = pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two), "audited": 0, "hit": 0})
+    audit = pd.DataFrame([(reps[p], None, len(truth[p]), len(truth[p] & found[p])) for p in sample], columns=["a", "b", "audited", "hit"])
+    return pd.concat([links.astype({"b": "Int64"}), audit.astype({"b": "Int64"})])
 
 
 def usable(embedding: str = "embedding", label: str = "label"):
@@ -191,10 +185,14 @@ def op7_embedding_near_dedup(embeddings: DataFrame, threshold: float = THRESHOLD
     key = ["label", "dim", "shard"]
     near = dealt.groupBy(*key).applyInPandas(_adjacency, "rep long, near array<long>")
     near = materialise(near.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
-    got = dealt.join(near, "rep").groupBy(*key).applyInPandas(lambda pdf: _searched(pdf, threshold), "rep long, weight long, least long, audited long, hit long")
+    got = dealt.join(near, "rep").groupBy(*key).applyInPandas(lambda pdf: _searched(pdf, threshold), "a long, b long, audited long, hit long")
     got = materialise(got, "found")
-    comps = components(got.select(F.col("rep").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "rep")
-    per = got.groupBy("rep").agg(F.sum("weight").alias("weight"), F.sum("audited").alias("audited_links"), F.sum("hit").alias("audited_found"))
+    links = materialise(got.where("b IS NOT NULL").select("a", "b").distinct(), "links")
+    comps = components(links).withColumnRenamed("node", "rep")
+    ends = links.union(links.select("b", "a")).toDF("rep", "other")
+    weight = ends.join(classes.select(F.col("rep").alias("other"), "n"), "other").groupBy("rep").agg(F.sum("n").alias("weight"))
+    audit = got.where("b IS NULL").select(F.col("a").alias("rep"), F.col("audited").alias("audited_links"), F.col("hit").alias("audited_found"))
+    per = classes.select("rep").join(weight, "rep", "left").join(audit, "rep", "left").fillna(0, ["audited_links", "audited_found"])
     label = classes.join(per, "rep", "left").join(comps, "rep", "left").select("label", "vec", (F.col("n") - 1 + F.coalesce("weight", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"), "audited_links", "audited_found")
     sure = rows.where("ok").join(label, ["label", "vec"]).select("_row", "vec_id", "n_links", "component", "audited_links", "audited_found")
     rest = rows.where("NOT ok").select("_row", "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("_row").alias("component"), F.lit(None).cast("long").alias("audited_links"), F.lit(None).cast("long").alias("audited_found"))

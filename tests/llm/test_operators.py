@@ -195,6 +195,21 @@ def test_embeddings(spark):
     assert all(out[i]["n_links"] == 0 and out[i]["kept"] for i in range(1000, 1005))
 
 
+def test_embedding_chains(spark):
+    """Chains of near copies whose ids are not in order are one component each."""
+    rng = random.Random(4)
+    chains = [[1, 5, 2, 0], [3, 9, 4], rng.sample(range(10, 28), 18), rng.sample(range(30, 45), 15)]
+    rows, want = [], {}
+    for label, ids in enumerate(chains):
+        for k, i in enumerate(ids):  # 10 degrees: cosine 0.985 to the next one, 0.940 to the one after
+            rows.append((i, [float(np.cos(np.radians(10 * k))), float(np.sin(np.radians(10 * k)))], label))
+            want[i] = (int(k > 0) + int(k < len(ids) - 1), min(ids), i == min(ids))
+    rows.append((50, rows[1][1], 0))  # an exact copy of 5
+    want |= {1: (2, 0, False), 2: (3, 0, False), 5: (3, 0, False), 50: (3, 0, False)}
+    out = embedding_dedup.op7_embedding_near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in out} == want
+
+
 def test_quality(spark, nothing):
     rng = random.Random(2)
     good = [(i, ". ".join(words(rng, 12) for _ in range(6)) + ".") for i in range(60)]
