@@ -9,8 +9,10 @@
 4. Every vector is searched in its home shard, over the united lists: a greedy search from the medoid, then, as long as members
    within the threshold are found, their neighbours too (range expansion). Every link is verified in double precision.
    The links of all shards, each once, are counted, and all of them are the edges of the components.
-5. Audit: vectors whose number is divisible by 20 are compared with the whole shard; a shard that misses a link of
-   these is searched again with four times the beam, then compared whole. The recall before that is returned.
+5. Audit: vectors whose number is divisible by 20 are compared with all vectors of the label, in blocks. As long as a label
+   misses a link of these, each vector of it is compared whole with the home members of more of its nearest shards: first its own
+   OVERLAP, then twice as many each time, at last all. audited_links and audited_found of these vectors are what brute force
+   finds and what the result holds of it.
 
 Cases: a null label, and a vector that is null, empty, zero or holds null, NaN or infinite components link with nothing; equal vectors link
 with each other; vectors of different length of a label are never compared; rows that repeat a vec_id are vectors of their own; an empty table gives an empty
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import components, map_arrow, materialise, with_rows
+from tessella.llm.common import components, discard, map_arrow, materialise, with_rows
 
 THRESHOLD = 0.98
 SHARD, OVERLAP = 200, 3
@@ -33,6 +35,8 @@ SHARD, OVERLAP = 200, 3
 SAMPLE, MAX_CENTRES = 20_000, 4096
 DEGREE, BEAM, ALPHA = 16, 24, 1.2
 AUDIT = 20
+#: Vectors of a block that is compared with another.
+BLOCK = 1024
 
 
 def centres(vectors: DataFrame, shard: int = SHARD, sample: int = SAMPLE, max_centres: int = MAX_CENTRES) -> dict[tuple[int, int], np.ndarray]:
@@ -59,22 +63,42 @@ def centres(vectors: DataFrame, shard: int = SHARD, sample: int = SAMPLE, max_ce
     return out
 
 
-def assigned(vectors: DataFrame, of: dict[tuple[int, int], np.ndarray], overlap: int = OVERLAP) -> DataFrame:
-    """A row for each vector and shard of it: label, dim, shard, home (its own shard), all (its shards), rep, n, vec."""
+def assigned(vectors: DataFrame, of: dict[tuple[int, int], np.ndarray], first: int = 0, end: int = OVERLAP) -> DataFrame:
+    """A row for each vector and shard of it, from the first-th nearest on: label, dim, shard, home (its nearest shard), rep, vec."""
     known = vectors.sparkSession.sparkContext.broadcast(of)  # at most MAX_CENTRES vectors
 
     def f(batch: pa.RecordBatch) -> pa.Table:
         pdf = batch.to_pandas()
         rows = []
-        for label, rep, n, vec in zip(pdf["label"], pdf["rep"], pdf["n"], pdf["vec"], strict=True):
+        for label, rep, vec in zip(pdf["label"], pdf["rep"], pdf["vec"], strict=True):
             c = known.value.get((label, len(vec)))
-            shards = [0] if c is None else np.argsort(-(c @ vec), kind="stable")[:overlap].tolist()
-            rows += [(label, len(vec), s, shards[0], shards, rep, n, vec) for s in shards]
-        cols = list(zip(*rows, strict=True))
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.list_(pa.float64()))
-        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["label", "dim", "shard", "home", "all", "rep", "n", "vec"])
+            shards = [0] if c is None else np.argsort(-(c @ vec), kind="stable")[:end].tolist()
+            rows += [(label, len(vec), s, shards[0], rep, vec) for s in shards[first:]]
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()))
+        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["label", "dim", "shard", "home", "rep", "vec"])
 
-    return map_arrow(vectors.select("label", "rep", "n", "vec"), f, "label long, dim int, shard int, home int, all array<int>, rep long, n long, vec array<double>")
+    return map_arrow(vectors.select("label", "rep", "vec"), f, "label long, dim int, shard int, home int, rep long, vec array<double>")
+
+
+def compared(asked: DataFrame, held: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Links of vectors (label, dim, shard, rep, vec) with those held by the same shard, all compared, in blocks: label, dim, asked, a, b."""
+    key = ["label", "dim", "shard"]
+    count = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    blocks = count(asked, "qs").join(count(held, "ps"), key)
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = asked.join(blocks, key).select(*key, own("qs").alias("q"), each("ps").alias("p"), F.lit(True).alias("asks"), "rep", "vec")
+    p = held.join(blocks, key).select(*key, each("qs").alias("q"), own("ps").alias("p"), F.lit(False).alias("asks"), "rep", "vec")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks, x, reps = pdf["asks"].to_numpy(), _unit(pdf), pdf["rep"].to_numpy()
+        one, two = np.nonzero(x[asks] @ x[~asks].T >= threshold)
+        one, two = reps[asks][one], reps[~asks][two]
+        one, two = one[one != two], two[one != two]
+        return pd.DataFrame({"label": pdf["label"].iloc[0], "dim": pdf["dim"].iloc[0], "asked": one, "a": np.minimum(one, two), "b": np.maximum(one, two)})
+
+    return q.union(p).groupBy(*key, "q", "p").applyInPandas(run, "label long, dim int, asked long, a long, b long")
 
 
 def _unit(pdf: pd.DataFrame) -> np.ndarray:
@@ -141,31 +165,40 @@ def _adjacency(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _searched(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """All links (a, b), a < b, found from the vectors whose home the shard is; and a row (a, null) with the audit of each audited vector."""
+    """All links (a, b), a < b, found from the vectors whose home the shard is."""
     pdf = pdf.sort_values("rep", ignore_index=True)
     x, reps, shard = _unit(pdf), pdf["rep"].to_numpy(), int(pdf["shard"].iloc[0])
     place = {r: i for i, r in enumerate(reps.tolist())}
     graph = [[place[r] for r in near if r in place] for near in pdf["near"]]
     start = medoid(x)
     mine = np.flatnonzero(pdf["home"].to_numpy() == shard).tolist()
-    sample = [p for p in mine if reps[p] % AUDIT == 0]
-    truth = {p: set(np.flatnonzero(x @ x[p] >= threshold).tolist()) - {p} for p in sample}
-
-    def search(beam: int) -> dict[int, set[int]]:
-        return {p: {o for o, s in _greedy(x[p], x, graph, start, beam, threshold).items() if s >= threshold and o != p} for p in mine}
-
-    found = search(BEAM)
-    wanted, hit = sum(map(len, truth.values())), sum(len(truth[p] & found[p]) for p in sample)
-    if hit < wanted:
-        found = search(4 * BEAM)
-        if any(truth[p] - found[p] for p in sample):
-            found = {p: set(np.flatnonzero(x @ x[p] >= threshold).tolist()) - {p} for p in mine}
-    at_home = set(mine)
-    here = [(p, o) for p in mine for o in found[p] if p < o or o not in at_home or p not in found[o]]
+    found = {p: {o for o, s in _greedy(x[p], x, graph, start, BEAM, threshold).items() if s >= threshold and o != p} for p in mine}
+    here = [(p, o) for p in mine for o in found[p] if p < o or p not in found.get(o, ())]
     one, two = reps[[p for p, _ in here]], reps[[o for _, o in here]]
-    links = pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two), "audited": 0, "hit": 0})
-    audit = pd.DataFrame([(reps[p], None, len(truth[p]), len(truth[p] & found[p])) for p in sample], columns=["a", "b", "audited", "hit"])
-    return pd.concat([links.astype({"b": "Int64"}), audit.astype({"b": "Int64"})])
+    return pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two)})
+
+
+def audited(classes: DataFrame, threshold: float) -> DataFrame:
+    """All links of the vectors whose number is divisible by AUDIT, by brute force over the label: label, dim, asked, a, b."""
+    whole = classes.select("label", F.size("vec").alias("dim"), F.lit(0).alias("shard"), "rep", "vec")
+    return compared(whole.where(F.col("rep") % AUDIT == 0), whole, threshold)
+
+
+def repaired(links: DataFrame, truth: DataFrame, classes: DataFrame, dealt: DataFrame, of: dict[tuple[int, int], np.ndarray], threshold: float) -> DataFrame:
+    """The links (a, b) with those that labels gain that miss a link of the audit, until they miss none or all their shards are compared."""
+    key, first, end = ["label", "dim"], 0, OVERLAP
+    home = dealt.where("shard = home")
+    while first < max([1, *map(len, of.values())]):
+        short = materialise(truth.join(links, ["a", "b"], "left_anti").select(*key).distinct(), "short")
+        if short.isEmpty():
+            break
+        asked = classes.withColumn("dim", F.size("vec")).join(short, key, "left_semi")
+        visits = materialise(assigned(asked, of, first, end), "visits")
+        more = compared(visits, home.join(short, key, "left_semi"), threshold).select("a", "b")
+        links = materialise(links.union(more).distinct(), "links")
+        discard(visits)
+        first, end = end, 2 * end
+    return links
 
 
 def usable(embedding: str = "embedding", label: str = "label"):
@@ -175,23 +208,25 @@ def usable(embedding: str = "embedding", label: str = "label"):
     return F.coalesce(F.col(label).isNotNull() & F.col(embedding).isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def op7_embedding_near_dedup(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def op7_embedding_near_dedup(embeddings: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
     rows = with_rows(embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding"), "vec_id")
     rows = rows.withColumn("ok", usable()).withColumn("vec", F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0)))
     classes = rows.where("ok").groupBy("label", "vec").agg(F.min("_row").alias("rep"), F.count("*").alias("n"))
     classes = materialise(classes, "vectors")
-    dealt = materialise(assigned(classes, centres(classes)), "shards")
+    of = centres(classes, shard)
+    dealt = materialise(assigned(classes, of), "shards")
     key = ["label", "dim", "shard"]
     near = dealt.groupBy(*key).applyInPandas(_adjacency, "rep long, near array<long>")
     near = materialise(near.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
-    got = dealt.join(near, "rep").groupBy(*key).applyInPandas(lambda pdf: _searched(pdf, threshold), "a long, b long, audited long, hit long")
-    got = materialise(got, "found")
-    links = materialise(got.where("b IS NOT NULL").select("a", "b").distinct(), "links")
+    got = dealt.join(near, "rep").groupBy(*key).applyInPandas(lambda pdf: _searched(pdf, threshold), "a long, b long")
+    truth = materialise(audited(classes, threshold), "audit")
+    links = repaired(materialise(got.distinct(), "links"), truth, classes, dealt, of, threshold)
     comps = components(links).withColumnRenamed("node", "rep")
     ends = links.union(links.select("b", "a")).toDF("rep", "other")
     weight = ends.join(classes.select(F.col("rep").alias("other"), "n"), "other").groupBy("rep").agg(F.sum("n").alias("weight"))
-    audit = got.where("b IS NULL").select(F.col("a").alias("rep"), F.col("audited").alias("audited_links"), F.col("hit").alias("audited_found"))
+    held = truth.join(links.withColumn("held", F.lit(1)), ["a", "b"], "left")
+    audit = held.groupBy(F.col("asked").alias("rep")).agg(F.count("*").alias("audited_links"), F.count("held").alias("audited_found"))
     per = classes.select("rep").join(weight, "rep", "left").join(audit, "rep", "left").fillna(0, ["audited_links", "audited_found"])
     label = classes.join(per, "rep", "left").join(comps, "rep", "left").select("label", "vec", (F.col("n") - 1 + F.coalesce("weight", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"), "audited_links", "audited_found")
     sure = rows.where("ok").join(label, ["label", "vec"]).select("_row", "vec_id", "n_links", "component", "audited_links", "audited_found")

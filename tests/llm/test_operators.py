@@ -210,6 +210,28 @@ def test_embedding_chains(spark):
     assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in out} == want
 
 
+def test_embedding_shards(spark):
+    """Links across many small shards, and the audit's own count of them, against brute force."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate((np.eye(16)[[0] * 200] + 0.034 * rng.normal(size=(200, 16)), rng.normal(size=(100, 16))))
+    rows = [(int(i), [float(v) for v in x[k]], k % 2) for k, i in enumerate(rng.permutation(300))]
+    found = embedding_dedup.op7_embedding_near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), shard=6).collect()
+    out = {r["vec_id"]: r for r in found}
+    u = np.array([r[1] for r in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    label, ids = np.array([r[2] for r in rows]), np.array([r[0] for r in rows])
+    near = (u @ u.T >= 0.98) & (label[:, None] == label[None, :])
+    want, least = near.sum(axis=1) - 1, ids.copy()
+    for _ in rows:
+        least = np.where(near, least[None, :], 10**6).min(axis=1)
+    asked = ids % embedding_dedup.AUDIT == 0
+    assert [out[i]["audited_links"] for i in ids.tolist()] == np.where(asked, want, 0).tolist()
+    assert sum(r["audited_found"] for r in found) >= 0.9 * want[asked].sum()
+    got = np.array([out[i]["n_links"] for i in ids.tolist()])
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum()
+    assert [out[i]["component_id"] for i in ids.tolist()] == least.tolist()
+
+
 def test_quality(spark, nothing):
     rng = random.Random(2)
     good = [(i, ". ".join(words(rng, 12) for _ in range(6)) + ".") for i in range(60)]
