@@ -5,8 +5,8 @@
 2. Posting. A signature has COORDINATES coordinates of ROWS_EACH minima; a representative is posted under each
    (coordinate, value). Posting lists with one member go. A pair of similarity s collides in a coordinate with
    probability s**ROWS_EACH; at 0.75 a pair misses the match threshold of two collisions in 8 of 100,000 cases.
-3. Counting. Collisions of a pair are counted over the posting lists; as two collisions are needed, the last coordinate
-   need not be probed (prefix), and a list whose members already have one component is skipped. Pairs over the match
+3. Counting. Collisions of a pair are counted over the posting lists, all of them (there is no prefix
+   merging); a list whose members already have one component is skipped. Pairs over the match
    threshold are verified on full sets: 100 * intersection >= 75 * union.
 4. A long posting list isn't expanded into its pairs at once: in the first rounds each member is compared to a few pivots
    of its lists only, and the components of the links found are joined. What is left are lists that still mix
