@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel works on at once; a longer document is a chunk of its own.
@@ -21,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only in a local session that names none, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:  # a single machine, as in tests
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
@@ -36,13 +39,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Writes a table into the shared folder and reads it again: cuts lineage, survives a lost executor.
 
-    The shuffle files behind the table are then of no use; Spark deletes those when the driver's JVM collects the plans, so
-    it is asked to.
+    Spark is told to delete the shuffle files of the write once it has ended; nothing reads them after it.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path, compression=codec)
-    spark.sparkContext._jvm.System.gc()
+    spark, clean = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = scratch_path(spark, name), spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")
+    try:
+        df.write.parquet(path, compression=codec)
+    finally:
+        spark.conf.set(clean, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,6 +62,18 @@ def with_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
 
 
+def packed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """_row, _key, text and _rest, a struct of all other columns: no name of the caller's can clash with one of ours."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
+    return with_rows(docs.select(F.col(f"`{key}`").cast("long").alias("_key"), F.col(f"`{text}`").alias("text"), rest.alias("_rest")), "_key")
+
+
+def unpacked(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The caller's columns again, some of them with new values; text is rows' own."""
+    new = {"text": F.col("text")} | new
+    return rows.select(*[(new[c] if c in new else F.col("_rest").getField(c)).alias(c) for c in columns])
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table that materialise() wrote and nothing reads any more."""
     spark = df.sparkSession
