@@ -267,6 +267,10 @@ def test_warc_errors():
         warc.payload_of(headers, block)
 
 
+def edits_allowed(a, b):
+    return min(line_dedup.EDITS, min(len(a), len(b)) // line_dedup.CHARS_PER_EDIT)
+
+
 def within(a, b, k=2):
     row = list(range(len(b) + 1))
     for i, c in enumerate(a, 1):
@@ -281,15 +285,15 @@ def test_line_dedup(spark, docs, rows, nothing, odd):
     rng = random.Random(5)
     line = "the quick brown fox jumps over the lazy dog"
     edits = [line, line[1:], line[:-2], "x" + line, line.replace("q", "Q"), line.replace("fox", "cat"), line[:20] + "é" + line[20:], line.replace("o", "0")]
-    more = [(1000 + i, "\n".join(rng.sample(edits, 4) + ["short", "short"]), "en", "s", 0, 1, 2) for i in range(12)]
+    shorter = ["call us: 12 34", "call us: 12 35", "call us 12 34", "call us 12 3", "call me 12 99", "Yes, please", "Yes, pleas", "  ", "\t", "é"]
+    more = [(1000 + i, "\n".join(rng.sample(edits, 4) + ["short", "short"] + rng.sample(shorter, 4)), "en", "s", 0, 1, 2) for i in range(12)]
     table = spark.createDataFrame(rows + more, SCHEMA)
     seen, want = [], {}
     for r in rows + more:
         kept = []
-        lines = (r[1] or "").split("\n")
-        for x in lines:
-            if len(x) >= line_dedup.MIN_CHARS:
-                near = any(abs(len(x) - len(y)) <= 2 and within(x, y) for y in seen)
+        for x in (r[1] or "").split("\n"):
+            if x.strip():
+                near = any(abs(len(x) - len(y)) <= 2 and (x == y or within(x, y, edits_allowed(x, y))) for y in seen)
                 seen.append(x)
                 if near:
                     continue
