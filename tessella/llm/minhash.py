@@ -2,133 +2,162 @@
 
 1. Features. A document's set is its distinct five-word shingles. Documents with equal sets are one class, and only one
    representative of each class goes on.
-2. Posting. A signature has COORDINATES coordinates of ROWS_EACH minima; a representative is posted under each
-   (coordinate, value). Posting lists with one member go. A pair of similarity s collides in a coordinate with
-   probability s**ROWS_EACH; at 0.75 a pair misses the match threshold of two collisions in 8 of 100,000 cases.
-3. Counting. Collisions of a pair are counted over the posting lists, all of them (there is no prefix
-   merging); a list whose members already have one component is skipped. Pairs over the match
-   threshold are verified on full sets: 100 * intersection >= 75 * union.
-4. A long posting list isn't expanded into its pairs at once: in the first rounds each member is compared to a few pivots
-   of its lists only, and the components of the links found are joined. What is left are lists that still mix
-   components; of these all pairs between different components are counted. So no link between components is lost, and
-   a group of thousands of copies costs a few comparisons a member.
-
-Cases: null text and text without words have an empty set, are linked with nothing and kept; equal texts are one class; an empty
-table gives an empty result; rows that repeat a doc_id are documents of their own
-that carry it; a null doc_id is kept; extra columns are ignored.
+2. Posting. A signature has COORDINATES minima; a representative is posted under each (coordinate, value). Two documents of
+   similarity s collide in a coordinate with probability s, and are a candidate pair from MIN_COLLISIONS collisions on. A pair
+   at exactly 0.75 has fewer in one of 7 * 10**8 cases, more similar pairs in still fewer.
+3. Prefix. A pair with so many collisions also has one outside each side's MIN_COLLISIONS - 1 longest lists (by length, then number: one order
+   for all), so these are left out, and so are lists of one member. A passage that very many documents share thus
+   makes no pairs of documents that have enough else.
+4. Skip merging. Lists are never merged as a whole. The first rounds hold each member against one pivot of each of its lists, take
+   those it meets most often, and join the components of the links found; lists within one component are skipped from then
+   on. In the last round each list skips its largest component: only the members outside it are held against the others. Pairs that can't
+   reach the similarity are skipped by size, and by how many of a document's shingles any other component has.
+5. Counting and verification. Collisions are counted from the two signatures; pairs over the match threshold are
+   verified on full sets: 100 * intersection >= 75 * union. So no candidate link between components is lost, and a group of thousands of copies
+   costs a few comparisons a member.
+
+Cases: null text and text without words have an empty set, are linked with nothing and kept; equal texts are one class; of
+tied pivots the one with the smaller hash, then number, is taken, which changes no component; very long texts are one set like others; an empty
+table gives an empty result; rows that repeat a doc_id are documents of their own that carry it; a row without doc_id is kept; extra columns are
+ignored by the operator and handed on by the pipeline stage, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import components, discard, map_arrow, materialise, text_chunks, with_rows
+from tessella.llm.common import components, discard, map_arrow, materialise, packed, text_chunks, unpacked, with_rows
 from tessella.llm.hashing import min_hashes, set_keys, shingle_sets
 
-COORDINATES, ROWS_EACH = 32, 4
-MIN_COLLISIONS = 2
+COORDINATES = 48
+MIN_COLLISIONS = 17
 PERCENT = 75
-PIVOT_ROUNDS, PIVOTS_EACH = 2, 4
+#: Pivots that a member is held against, by round.
+PIVOTS = (1, 4)
 
 
 def _features(batch: pa.RecordBatch) -> pa.Table:
-    """doc_id, n, k1, k2 and the coordinate values of a batch."""
+    """_row, n, k1, k2 and the coordinate values of a batch."""
     n, k1, k2, sig = [], [], [], []
     for _, _, data, offsets in text_chunks(batch.column("text")):
         values, at = shingle_sets(data, offsets)
         size = np.diff(at)
         a, b = set_keys(values, at)
         n.append(size), k1.append(a), k2.append(b)
-        mins = min_hashes(values, at, COORDINATES * ROWS_EACH)
+        mins = min_hashes(values, at, COORDINATES)
         rows = iter(mins)
         sig += [next(rows).tobytes() if s else None for s in size]
     ints = lambda x: pa.array(np.concatenate(x), pa.int64())
-    return pa.table({"doc_id": batch.column("doc_id"), "n": ints(n), "k1": ints(k1), "k2": ints(k2), "sig": pa.array(sig, pa.binary())})
+    return pa.table({"_row": batch.column("_row"), "n": ints(n), "k1": ints(k1), "k2": ints(k2), "sig": pa.array(sig, pa.binary())})
 
 
 def features(docs: DataFrame) -> DataFrame:
-    return map_arrow(docs.select(F.col("_row").alias("doc_id"), "text"), _features, "doc_id long, n long, k1 long, k2 long, sig binary")
+    return map_arrow(docs.select("_row", "text"), _features, "_row long, n long, k1 long, k2 long, sig binary")
 
 
 def _postings(batch: pa.RecordBatch) -> pa.Table:
-    """A row for each coordinate of each representative: list (hash of coordinate and value), rep, n."""
-    sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES, ROWS_EACH)
-    key = np.tile(np.arange(1, COORDINATES + 1, dtype=np.uint64), (len(sig), 1))
-    for k in range(ROWS_EACH):
-        key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ (sig[:, :, k].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        key ^= key >> np.uint64(29)
+    """A row for each coordinate of each representative: list (coordinate and value), rep, n."""
+    sig = _signatures(batch.column("sig"))
+    key = (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)) | sig.astype(np.uint64)
     each = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(), COORDINATES))
     return pa.table({"list": pa.array(key.ravel().view(np.int64)), "rep": each("rep"), "n": each("n")})
 
 
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDINATES)
+
+
 def _sets(batch: pa.RecordBatch) -> pa.Table:
     out: list[bytes] = []
     for _, _, data, offsets in text_chunks(batch.column("text")):
         values, at = shingle_sets(data, offsets)
         out += [values[at[i] : at[i + 1]].tobytes() for i in range(len(at) - 1)]
-    return pa.table({"rep": batch.column("doc_id"), "shingles": pa.array(out, pa.binary())})
+    return pa.table({"rep": batch.column("rep"), "sig": batch.column("sig"), "shingles": pa.array(out, pa.binary())})
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-            a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(a) + len(b) - both))
-        yield batch.select(["ca", "cb"]).filter(pa.array(keep, pa.bool_()))
+def _verified(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The pairs with enough collisions and, of these, with enough common shingles."""
+    keep = (_signatures(batch.column("ga")) == _signatures(batch.column("gb"))).sum(axis=1) >= MIN_COLLISIONS
+    sets = batch.column("sa"), batch.column("sb")
+    for i in np.flatnonzero(keep).tolist():
+        a, b = (np.frombuffer(x[i].as_py(), np.uint64) for x in sets)
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        keep[i] = 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return batch.select(["ca", "cb"]).filter(pa.array(keep))
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of representatives that reach the similarity on their full sets; ca and cb, their components, go along."""
-    a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "ca", "cb", "sa", "sb").mapInArrow(_verified, "ca long, cb long")
+    """The components (ca, cb) of the pairs (a, b, ca, cb) of representatives that are linked."""
+    a = sets.select(F.col("rep").alias("a"), F.col("sig").alias("ga"), F.col("shingles").alias("sa"))
+    b = sets.select(F.col("rep").alias("b"), F.col("sig").alias("gb"), F.col("shingles").alias("sb"))
+    return map_arrow(pairs.join(b, "b").join(a, "a").select("ca", "cb", "ga", "gb", "sa", "sb"), _verified, "ca long, cb long")
 
 
 def _sizes_fit() -> str:
     return f"100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)"
 
 
-def _candidates(lists: DataFrame, pivots: bool, salt: int) -> DataFrame:
-    """Pairs (a, b, ca, cb) of different components over the match threshold, from lists (list, rep, n, component).
+def prefixes(classes: DataFrame) -> DataFrame:
+    """Posting lists (list, rep, n) with more than one member, without each representative's MIN_COLLISIONS - 1 longest."""
+    posted = map_arrow(classes.select("rep", "n", "sig"), _postings, "list long, rep long, n long")
+    shared = materialise(posted.groupBy("list").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+    longest = Window.partitionBy("rep").orderBy(F.desc("c"), F.desc("list"))  # COORDINATES rows at most
+    kept = posted.join(shared, "list").withColumn("place", F.row_number().over(longest)).where(F.col("place") >= MIN_COLLISIONS)
+    return kept.select("list", "rep", "n")
 
-    With pivots, each member is only held against one member of each of its lists, and of those against PIVOTS_EACH with most collisions.
-    """
-    pivot = F.min_by(F.struct("rep", "n", "component"), F.xxhash64("rep", F.lit(salt)))
+
+def pivot_pairs(lists: DataFrame, most: int, salt: int) -> DataFrame:
+    """Pairs (a, b, ca, cb): each member and, of the pivots of its lists that are in other components, the `most` it meets most often."""
+    pivot = F.min_by(F.struct("rep", "n", "component"), F.struct(F.xxhash64("rep", F.lit(salt)), "rep"))
     mixed = lists.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), pivot.alias("y")).where("lo <> hi")
-    if pivots:
-        both = lists.alias("x").join(mixed.select("list", "y"), "list").where(F.expr(f"x.component <> y.component AND {_sizes_fit()}"))
-    else:
-        own = lists.join(mixed.select("list"), "list", "left_semi")
-        both = own.alias("x").join(own.alias("y"), F.expr(f"x.list = y.list AND x.rep < y.rep AND x.component <> y.component AND {_sizes_fit()}"))
-    pairs = both.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.count("*").alias("c"), F.min("x.component").alias("ca"), F.min("y.component").alias("cb")).where(f"c >= {MIN_COLLISIONS}")
-    if pivots:
-        best = Window.partitionBy("a").orderBy(F.desc("c"), "b")  # a member has COORDINATES / MIN_COLLISIONS rows at most
-        pairs = pairs.withColumn("place", F.row_number().over(best)).where(f"place <= {PIVOTS_EACH}")
-    return pairs.select("a", "b", "ca", "cb")
+    both = lists.alias("x").join(mixed.select("list", "y"), "list").where(F.expr(f"x.component <> y.component AND {_sizes_fit()}"))
+    pairs = both.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.count("*").alias("c"), F.min("x.component").alias("ca"), F.min("y.component").alias("cb"))
+    best = Window.partitionBy("a").orderBy(F.desc("c"), "b")  # a row for each list of a member at most
+    return pairs.withColumn("place", F.row_number().over(best)).where(f"place <= {most}").select("a", "b", "ca", "cb")
+
+
+def _exploded(batch: pa.RecordBatch) -> pa.Table:
+    parts = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+    size = [len(x) for x in parts]
+    each = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(), size))
+    return pa.table({"s": pa.array(np.concatenate(parts)), "rep": each("rep"), "component": each("component")})
+
+
+def left_pairs(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs (a, b, ca, cb) of different components that share a list and may be similar enough.
+
+    At most the shingles of a document that some other component has can be common to a pair; m is their number.
+    """
+    sizes = lists.groupBy("list", "component").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("list").agg(F.count("*").alias("k"), F.max_by("component", F.struct("c", "component")).alias("main")).where("k > 1")
+    own = materialise(lists.join(mixed.select("list", "main"), "list"), "mixed")
+    members = own.select("rep", "component").distinct()
+    each = map_arrow(sets.join(members, "rep").select("shingles", "rep", "component"), _exploded, "s long, rep long, component long")
+    each = materialise(each, "shingles")
+    common = each.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("s")
+    m = materialise(each.join(common, "s", "left_semi").groupBy("rep").agg(F.count("*").alias("m")), "common")
+    discard(each)
+    own = own.join(m, "rep").where(f"100 * m >= {PERCENT} * n")  # the other one has m shingles at least
+    fits = f"x.component <> y.component AND {_sizes_fit()} AND {100 + PERCENT} * least(x.m, y.m) >= {PERCENT} * (x.n + y.n) AND (y.component = y.main OR x.rep < y.rep)"
+    both = own.where("component <> main").alias("x").join(own.alias("y"), F.expr(f"x.list = y.list AND {fits}"))
+    return both.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.min("x.component").alias("ca"), F.min("y.component").alias("cb"))
 
 
 def links(docs: DataFrame, feats: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Components (rep, component) of the representatives that collide with others, and the classes (k1, k2, n, rep).
+    """Components (rep, component) of the representatives that share lists with others, and the classes (k1, k2, n, rep).
 
     rep is the smallest document of a set.
     """
-    classes = materialise(feats.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "classes")
-    posted = materialise(map_arrow(classes.select("rep", "n", "sig"), _postings, "list long, rep long, n long"), "posted")
-    shared = posted.groupBy("list").agg(F.count("*").alias("c")).where("c > 1").select("list")
-    lists = materialise(posted.join(shared, "list").withColumn("component", F.col("rep")), "lists")
-    discard(posted)
-    wanted = lists.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select(F.col("_row").alias("doc_id"), "text")
-    sets = materialise(map_arrow(texts.join(wanted, "doc_id", "left_semi"), _sets, "rep long, shingles binary"), "sets")
-    for r in range(PIVOT_ROUNDS + 1):
-        new = materialise(verify(_candidates(lists, r < PIVOT_ROUNDS, r), sets), "links")
+    classes = materialise(feats.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("_row").alias("rep"), F.min("sig").alias("sig")), "classes")
+    lists = materialise(prefixes(classes).withColumn("component", F.col("rep")), "lists")
+    wanted = classes.select(F.col("rep").alias("_row"), "sig").join(lists.select(F.col("rep").alias("_row")).distinct(), "_row", "left_semi")
+    sets = materialise(map_arrow(docs.select("_row", "text").join(wanted, "_row").select(F.col("_row").alias("rep"), "sig", "text"), _sets, "rep long, sig binary, shingles binary"), "sets")
+    for r in range(len(PIVOTS) + 1):
+        pairs = pivot_pairs(lists, PIVOTS[r], r) if r < len(PIVOTS) else left_pairs(lists, sets)
+        new = materialise(verify(pairs, sets), "links")
         if new.isEmpty():
             continue
         to = components(new, "ca", "cb").toDF("component", "to")
@@ -142,7 +171,7 @@ def clusters(docs: DataFrame) -> DataFrame:
     feats = materialise(features(docs), "features")
     comps, classes = links(docs, feats)
     label = classes.select("k1", "k2", "n", "rep").join(comps, "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
-    joined = feats.select(F.col("doc_id").alias("_row"), "n", "k1", "k2").join(label, ["k1", "k2", "n"], "left")
+    joined = feats.select("_row", "n", "k1", "k2").join(label, ["k1", "k2", "n"], "left")
     return joined.select("_row", F.col("n").alias("n_shingles"), F.coalesce("component", "_row").alias("component"))
 
 
@@ -161,6 +190,6 @@ def op6_minhash_near_dedup(docs: DataFrame) -> DataFrame:
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """Pipeline stage: one document, that with the smallest doc_id, of each group of near-duplicates stays."""
-    rows = with_rows(docs)
+    rows = packed(docs)
     kept = clusters(rows).where("_row = component").select("_row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    return unpacked(rows.join(kept, "_row", "left_semi"), docs.columns)
