@@ -1,20 +1,22 @@
 """Document fingerprints by invertible Bloom lookup sketches, in DataFrame functions only.
 
-A document is the set of its paragraphs' 64-bit digests: lines, and within a line its sentences. The low 24 bits of a digest
-are a check hash of its high 40 bits. A sketch has ROWS_OF_CELLS rows of CELLS cells; a digest is added to one cell of each row
-by xor, with its check. Sketches of two versions subtract cell by cell, so what the versions share cancels out. Peeling takes
-a digest from any cell whose check is right, as it then holds just one, removes it from its other cells, and goes on until
-all cells are empty: then the differing digests are known, and
-likeness is shared / all digests. Where cells stay full, the sketches were too small, and the pair is sketched again, larger:
-the digests are dealt to as many sub-sketches as the two sets can fill, of which those that don't peel are made twice as large, then to eight
-times as many sub-sketches.
-A pair that even then doesn't peel is compared by its digest sets.
-
-The fingerprint is the smallest sketch, in hex. Equal texts have equal fingerprints.
-
-Cases: null text is empty; an empty text has no digests; two empty sets have likeness 1; repeated paragraphs count once; rows that
-repeat a doc_id are documents of their own, ordered by their numbers, null ids last; with one document, the next is itself; an empty table gives an empty
-result; extra columns are ignored.
+A document is the set of its paragraphs' 64-bit digests: lines, within a line its sentences, and of sentences over LONG
+characters pieces that end where the hash of three neighbouring characters says so. The low 24 bits of a digest are a check hash of its high 40 bits.
+
+A sketch deals the digests to 2**power parts, by bits of theirs, so that a part holds about LOAD of them. A part is an invertible lookup table: rows of
+cells, and a digest is added to one cell of each row, by xor. Peeling takes a digest from any cell whose check is right, as it then holds
+just one, removes it from its other cells, and goes on until all cells are empty or none is left to take. A part that doesn't peel is drawn
+larger: each attempt has its own hash, and twice the cells up to the largest size. A fingerprint is such a sketch, all of whose parts peel, so
+the digests can be got back from it alone.
+
+Two fingerprints subtract cell by cell, so what the versions share cancels out, and peeling what is left recovers the
+digests that differ; likeness is shared / all digests. A fingerprint of another power, or a part of another attempt, is drawn again from its
+digests like the one it is held against; where what is left doesn't peel, both parts are drawn larger, until it does. As the digests of a
+fingerprint can be got back from it, likeness is a function of the two fingerprints.
+
+Cases: null text is empty; an empty text has no digests; two empty sets have likeness 1; equal texts have equal fingerprints; repeated paragraphs
+count once; rows that repeat a doc_id are documents of their own, ordered by their numbers, null ids last; with one document, the next is itself; the time
+for a very long text grows with the power 1.5 of its paragraphs; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,12 +26,17 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import materialise, tasks_of, with_rows
 
-ROWS_OF_CELLS, CELLS = 3, 8
-ROUNDS = 7
-CHECK_BITS = 24
-#: Digests that a sub-sketch of the larger kind should hold of a pair.
-LOAD = 5
+ROWS_OF_CELLS = 3
+#: Cells of a row at the first attempt; twice as many at each further one, up to 16 times.
+CELLS, DOUBLINGS = 8, 4
+#: Attempts at most; the last ones are never needed, as each has its own hash.
+ATTEMPTS = 64
+CHECK_BITS, NAME_BITS = 24, 19
+#: Digests that a part of a fingerprint should hold.
+LOAD = 8
 PARAGRAPH = r"\n+|(?<=[.!?|])\s+"
+#: Characters of a sentence from which on it is cut further, and their mean number a piece.
+LONG, PIECE = 400, 64
 
 
 def let(value: Column, f) -> Column:
@@ -37,10 +44,23 @@ def let(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+def paragraphs(text: Column) -> Column:
+    """The non-empty paragraphs of a text."""
+    mark = "\n"  # no sentence holds one
+
+    def pieces(chars: Column) -> Column:
+        ends = lambda c, i: F.pmod(F.xxhash64(F.get(chars, i - 2), F.get(chars, i - 1), c), F.lit(PIECE)) == 0
+        return F.split(F.array_join(F.transform(chars, lambda c, i: F.when(ends(c, i), F.concat(c, F.lit(mark))).otherwise(c)), ""), mark)
+
+    parts = F.filter(F.split(text, PARAGRAPH), lambda p: p != "")
+    cut = F.transform(parts, lambda p: F.when(F.char_length(p) <= LONG, F.array(p)).otherwise(let(F.split(p, ""), pieces)))
+    return F.filter(F.flatten(cut), lambda p: p != "")
+
+
 def digests(text: Column) -> Column:
     """Distinct digests of the paragraphs of a text."""
-    parts = F.filter(F.split(text, PARAGRAPH), lambda p: p != "")
-    return F.array_distinct(F.transform(parts, lambda p: let(F.shiftright(F.xxhash64(p), CHECK_BITS), lambda h: F.shiftleft(h, CHECK_BITS).bitwiseOR(_check(h)))))
+    one = lambda p: let(F.shiftright(F.xxhash64(p), CHECK_BITS), lambda h: F.shiftleft(h, CHECK_BITS).bitwiseOR(_check(h)))
+    return F.array_distinct(F.transform(paragraphs(text), one))
 
 
 def _check(high: Column) -> Column:
@@ -52,91 +72,123 @@ def _single(cell: Column) -> Column:
     return (cell != 0) & (_check(F.shiftright(cell, CHECK_BITS)) == cell.bitwiseAND(F.lit((1 << CHECK_BITS) - 1).cast("long")))
 
 
-def _cells(bits: int, cells: int) -> Column:
-    """The cells of a sketch: which bits of a digest name the cell of its row (from s on), and the name (p). A constant."""
-    width = cells.bit_length() - 1
-    return F.array(*[F.struct(F.lit(bits + row * width).alias("s"), F.lit(p).cast("long").alias("p")) for row in range(ROWS_OF_CELLS) for p in range(cells)])
+def _width(attempt: Column) -> Column:
+    """Cells of a row."""
+    return F.call_function("shiftleft", F.lit(CELLS), F.least(attempt, F.lit(DOUBLINGS)))
 
 
-def _hits(u: Column, cell: Column, cells: int) -> Column:
-    """Whether a digest belongs to a cell."""
-    return F.call_function("shiftright", u, cell["s"]).bitwiseAND(F.lit(cells - 1).cast("long")) == cell["p"]
+def _all_cells(attempt: Column) -> Column:
+    return F.sequence(F.lit(0), ROWS_OF_CELLS * _width(attempt) - 1)
 
 
-def _xor(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
+def _placed(ds: Column, attempt: Column) -> Column:
+    """Digests (u) with the cells, one a row, that the attempt's hash names."""
 
+    def cells(x: Column) -> Column:
+        at = lambda r: (F.shiftrightunsigned(x["h"], 16 * r).bitwiseAND(F.lit(0xFFFF).cast("long")) % x["m"] + r * x["m"]).cast("int")
+        return F.struct(x["u"].alias("u"), *[at(r).alias(f"c{r}") for r in range(ROWS_OF_CELLS)])
 
-def sketch(ds: Column, bits: int, cells: int = CELLS) -> Column:
-    """Cells of an array of digests."""
-    return F.transform(_cells(bits, cells), lambda c: _xor(F.filter(ds, lambda u: _hits(u, c, cells))))
+    hashed = F.transform(ds, lambda u: F.struct(u.alias("u"), F.xxhash64(attempt, u).alias("h"), _width(attempt).alias("m")))
+    return F.transform(hashed, cells)
 
 
-def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
+def _xor_of(placed: Column, cell: Column) -> Column:
+    """The digests that belong to a cell, by xor."""
+    hits = lambda x: (x["c0"] == cell) | (x["c1"] == cell) | (x["c2"] == cell)
+    return F.aggregate(placed, F.lit(0).cast("long"), lambda sum, x: F.when(hits(x), sum.bitwiseXOR(x["u"])).otherwise(sum))
 
 
-def peel(sketched: Column, bits: int, cells: int = CELLS) -> Column:
-    """How many digests differ, or -1 where peeling stops early."""
+def drawn(ds: Column, attempt: Column) -> Column:
+    """Cells of a part of these digests."""
+    return let(_placed(ds, attempt), lambda placed: F.transform(_all_cells(attempt), lambda c: _xor_of(placed, c)))
+
+
+def peel(cells: Column, attempt: Column) -> Column:
+    """How many digests a part holds, or -1 where peeling stops early."""
 
     def step(state: Column, _: Column) -> Column:
         def without(pure: Column) -> Column:
-            left = F.zip_with(state["cells"], _cells(bits, cells), lambda x, c: x.bitwiseXOR(_xor(F.filter(pure, lambda u: _hits(u, c, cells)))))
-            return F.when(F.size(pure) == 0, state).otherwise(F.struct(left.alias("cells"), (state["found"] + F.size(pure)).alias("found")))
+            left = F.zip_with(state["cells"], _all_cells(attempt), lambda x, c: x.bitwiseXOR(_xor_of(pure, c)))
+            goes_on = F.struct(left.alias("cells"), (state["found"] + F.size(pure)).alias("found"), F.lit(True).alias("more"))
+            return F.when(F.size(pure) > 0, goes_on).otherwise(F.struct(state["cells"], state["found"], F.lit(False).alias("more")))
 
-        return let(F.array_distinct(F.filter(state["cells"], _single)), without)
+        pure = _placed(F.array_distinct(F.filter(state["cells"], _single)), attempt)
+        return F.when(state["more"], let(pure, without)).otherwise(state)
 
-    begin = F.struct(sketched.alias("cells"), F.lit(0).alias("found"))
+    begin = F.struct(cells.alias("cells"), F.lit(0).alias("found"), F.lit(True).alias("more"))
     done = lambda s: F.when(F.forall(s["cells"], lambda x: x == 0), s["found"]).otherwise(-1)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), begin, step, done)
+    # a round takes a digest at least, and no more digests than cells can be peeled
+    return F.aggregate(F.sequence(F.lit(1), F.size(cells)), begin, step, done)
 
 
-def _dealt(ds: Column, q: Column, r: Column) -> Column:
-    """Digests dealt to 2**q * 2**r sub-arrays by the bits above the check, in two steps."""
+def dealt(ds: Column, power: Column) -> Column:
+    """Digests dealt to 2**power arrays by the bits above the check, in two steps."""
     low = lambda n: F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), n) - 1)
-    first = F.transform(low(q), lambda a: F.filter(ds, lambda u: F.shiftright(u, CHECK_BITS).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), q) - 1) == a))
-    second = lambda g: F.transform(low(r), lambda b: F.filter(g, lambda u: F.call_function("shiftright", u, q + CHECK_BITS).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), r) - 1) == b))
-    return F.flatten(F.transform(first, second))
+    mask = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1
+
+    def run(w: Column) -> Column:
+        first = F.transform(low(w["q"]), lambda a: F.filter(ds, lambda u: F.shiftright(u, CHECK_BITS).bitwiseAND(mask(w["q"])) == a))
+        return F.flatten(F.transform(first, lambda g: F.transform(low(w["r"]), lambda b: F.filter(g, lambda u: F.call_function("shiftright", u, w["q"] + CHECK_BITS).bitwiseAND(mask(w["r"])) == b))))
+
+    widths = F.struct(F.floor((power + 1) / 2).cast("int").alias("q"), F.floor(power / 2).cast("int").alias("r"))
+    return F.when(power == 0, F.array(ds)).otherwise(let(widths, run))
+
 
+def _part(ds: Column) -> Column:
+    """A part of a fingerprint, drawn larger until it peels: attempt, cells."""
 
-def _larger(a: Column, b: Column, times: int, bits: int) -> Column:
-    """Differing digests of two arrays by sub-sketches, as many as fit their sizes times `times`; -1 if one of them doesn't peel."""
-    wanted = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) * times / LOAD))
-    power = F.ceil(F.log2(wanted.cast("double"))).cast("int")
+    def step(state: Column, _: Column) -> Column:
+        def tried(cells: Column) -> Column:
+            ok = peel(cells, state["attempt"]) >= 0
+            return let(ok, lambda good: F.struct(good.alias("ok"), (state["attempt"] + F.when(good, 0).otherwise(1)).alias("attempt"), cells.alias("cells")))
+
+        return F.when(state["ok"], state).otherwise(let(drawn(ds, state["attempt"]), tried))
+
+    begin = F.struct(F.lit(False).alias("ok"), F.lit(0).alias("attempt"), F.array().cast("array<bigint>").alias("cells"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ATTEMPTS)), begin, step, lambda s: F.struct(s["attempt"].alias("attempt"), s["cells"].alias("cells")))
 
-    def run(p: Column) -> Column:
-        q, r = F.floor((p + 1) / 2).cast("int"), F.floor(p / 2).cast("int")
 
-        def one(x: Column, y: Column) -> Column:
-            first = peel(subtract(sketch(x, bits), sketch(y, bits)), bits)
-            again = peel(subtract(sketch(x, bits + 9, 2 * CELLS), sketch(y, bits + 9, 2 * CELLS)), bits + 9, 2 * CELLS)
-            return F.when(F.size(x) + F.size(y) == 0, 0).otherwise(let(first, lambda d: F.when(d >= 0, d).otherwise(again)))
+def fitting_power(ds: Column) -> Column:
+    """Power of the number of parts that digests are dealt to."""
+    return F.least(F.lit(NAME_BITS), F.ceil(F.log2(F.greatest(F.lit(1.0), F.size(ds) / LOAD))).cast("int"))
 
-        parts = F.zip_with(_dealt(a, q, r), _dealt(b, q, r), one)
-        return F.aggregate(parts, F.lit(0), lambda s, d: F.when((s < 0) | (d < 0), -1).otherwise(s + d))
 
-    return let(power, run)
+def fingerprint(ds: Column) -> Column:
+    """The sketch of some digests: an array of parts (attempt, cells), each of which peels."""
+    return F.transform(dealt(ds, fitting_power(ds)), _part)
 
 
-def with_likeness(rows: DataFrame, name: str, a: str, b: str, sketch_a: str, sketch_b: str) -> DataFrame:
-    """Adds shared / all digests of two columns of digests, from their sketches; larger ones are made where these don't peel."""
-    x, y = F.col(a), F.col(b)
-    tries = [
-        peel(subtract(F.col(sketch_a), F.col(sketch_b)), 43),
-        _larger(x, y, 1, 43),
-        _larger(x, y, 8, 43),
-        F.size(F.array_except(x, y)) + F.size(F.array_except(y, x)),
-    ]
-    rows = rows.withColumn("_d", tries[0])
-    for t in tries[1:]:
-        rows = rows.withColumn("_d", F.when(F.col("_d") >= 0, F.col("_d")).otherwise(t))
-    total = F.size(x) + F.size(y)
-    return rows.withColumn(name, F.when(total == 0, 1.0).otherwise((total - F.col("_d")) / (total + F.col("_d")))).drop("_d")
+def _differing(x: Column, dy: Column) -> Column:
+    """How many digests differ between a part (attempt, cells, ds) and the digests of another."""
+
+    def step(state: Column, _: Column) -> Column:
+        own = F.when((x["attempt"] == state["attempt"]) & x["cells"].isNotNull(), x["cells"]).otherwise(drawn(x["ds"], state["attempt"]))
+        less = F.zip_with(own, drawn(dy, state["attempt"]), lambda u, v: u.bitwiseXOR(v))
+        return F.when(state["d"] >= 0, state).otherwise(F.struct(let(less, lambda c: peel(c, state["attempt"])).alias("d"), (state["attempt"] + 1).alias("attempt")))
+
+    begin = F.struct(F.lit(-1).alias("d"), x["attempt"].alias("attempt"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ATTEMPTS)), begin, step, lambda s: s["d"])
 
 
-def as_text(cells: Column) -> Column:
-    """A sketch in hex, 16 digits a cell."""
-    return F.array_join(F.transform(cells, lambda x: F.lpad(F.hex(x), 16, "0")), "")
+def likeness(x: Column, dx: Column, dy: Column) -> Column:
+    """Shared / all digests of a fingerprint that peels to the digests dx, and that of the digests dy."""
+    power = F.greatest(fitting_power(dx), fitting_power(dy))
+    part = lambda p, g: F.struct(F.coalesce(p["attempt"], F.lit(0)).alias("attempt"), p["cells"].alias("cells"), g.alias("ds"))
+
+    def over(w: Column) -> Column:
+        own = F.zip_with(F.when(F.size(x) == F.size(w["gx"]), x).otherwise(F.slice(x, 1, 0)), w["gx"], part)  # no cells where the power differs
+        return F.aggregate(F.zip_with(own, w["gy"], _differing), F.lit(0), lambda s, one: s + one)
+
+    d = let(F.struct(dealt(dx, power).alias("gx"), dealt(dy, power).alias("gy")), over)
+    total = F.size(dx) + F.size(dy)
+    return F.when(total == 0, 1.0).otherwise(let(d, lambda k: (total - k) / (total + k)))
+
+
+def as_text(made: Column) -> Column:
+    """A fingerprint in hex: two digits of its power, and for each part two of the attempt and 16 a cell."""
+    two = lambda n: F.lpad(F.hex(n), 2, "0")
+    part = lambda x: F.concat(two(x["attempt"]), F.array_join(F.transform(x["cells"], lambda c: F.lpad(F.hex(c), 16, "0")), ""))
+    return F.concat(two(F.log2(F.size(made)).cast("int")), F.array_join(F.transform(made, part), ""))
 
 
 def previous_rows(rows: DataFrame) -> DataFrame:
@@ -149,7 +201,7 @@ def previous_rows(rows: DataFrame) -> DataFrame:
     dealt = materialise(dealt.withColumn("part", F.spark_partition_id()), "order")
     order = (F.col("doc_id").desc_nulls_last(), F.col("_row"))
     inner = Window.partitionBy("part").orderBy(*order)
-    rank = F.struct(F.col("doc_id").isNull(), -F.col("doc_id"), "_row")
+    rank = F.struct(F.col("doc_id").isNull(), F.bitwise_not("doc_id"), "_row")
     ends = dealt.groupBy("part").agg(F.max_by(F.struct("_row", "n"), rank).alias("last"))
     around = ends.select("part", F.lag("last").over(Window.orderBy("part")).alias("before"), F.max_by("last", "part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("end"))
     ends = around.select("part", F.coalesce("before", "end").alias("before"))
@@ -159,13 +211,16 @@ def previous_rows(rows: DataFrame) -> DataFrame:
 
 
 def op5_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_id of every document."""
     rows = with_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     before = previous_rows(rows)
-    nexts = rows.join(before, "_row").select(F.col("p_row").alias("_row"), F.expr("substring(text, 1, int(p_chars div 3))").alias("head"), digests(F.col("text")).alias("nd"))
+    # both branches read the same columns of rows, so the texts are shuffled once
+    nexts = rows.join(before, "_row").select(F.col("p_row").alias("_row"), F.col("doc_id").alias("next_id"), F.expr("substring(text, 1, int(p_chars div 3))").alias("head"), digests(F.col("text")).alias("nd"))
     both = rows.join(nexts, "_row").withColumn("n_chars", F.char_length("text").cast("long"))
     both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, int(n_chars - n_chars div 3))"), "head"))
-    both = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("d"), digests(F.col("edited")).alias("ed"), "nd")
-    made = both.withColumns({"s": sketch(F.col("d"), 43), "es": sketch(F.col("ed"), 43), "ns": sketch(F.col("nd"), 43)})
-    made = with_likeness(with_likeness(made, "near_edited", "d", "ed", "s", "es"), "near_next", "d", "nd", "s", "ns")
-    return made.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("s")).alias("fingerprint"), as_text(F.col("es")).alias("edited_fingerprint"), "near_edited", "near_next")
+    both = both.select("doc_id", "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("d"), digests(F.col("edited")).alias("ed"), "nd")
+
+    # step by step, as the analyser resolves nested functions level by level
+    both = both.select("*", fingerprint(F.col("d")).alias("f"), fingerprint(F.col("ed")).alias("ef"))
+    both = both.select("*", *[likeness(F.col("f"), F.col("d"), F.col(ds)).alias(name) for name, ds in (("near_edited", "ed"), ("near_next", "nd"))])
+    return both.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("f")).alias("fingerprint"), as_text(F.col("ef")).alias("edited_fingerprint"), "near_edited", "near_next", "next_id")
