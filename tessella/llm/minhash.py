@@ -36,7 +36,7 @@ COORDINATES = 48
 MIN_COLLISIONS = 17
 PERCENT = 75
 #: Pivots that a member is held against, by round.
-PIVOTS = (1, 4)
+PIVOTS = (2, 4)
 
 
 def _features(batch: pa.RecordBatch) -> pa.Table:
@@ -101,17 +101,24 @@ def _sizes_fit() -> str:
 
 
 def prefixes(classes: DataFrame) -> DataFrame:
-    """Posting lists (list, rep, n) with more than one member, without each representative's MIN_COLLISIONS - 1 longest."""
+    """Posting lists (list, rep, n, weight) with more than one member, without each representative's MIN_COLLISIONS - 1 longest.
+
+    The weight of a representative is the sum of the lengths of its lists: how much it collides with all others.
+    """
     posted = map_arrow(classes.select("rep", "n", "sig"), _postings, "list long, rep long, n long")
     shared = materialise(posted.groupBy("list").agg(F.count("*").alias("c")).where("c > 1"), "shared")
     longest = Window.partitionBy("rep").orderBy(F.desc("c"), F.desc("list"))  # COORDINATES rows at most
-    kept = posted.join(shared, "list").withColumn("place", F.row_number().over(longest)).where(F.col("place") >= MIN_COLLISIONS)
-    return kept.select("list", "rep", "n")
+    weight = F.sum("c").over(Window.partitionBy("rep")).alias("weight")
+    ranked = posted.join(shared, "list").select("list", "rep", "n", weight, F.row_number().over(longest).alias("place"))
+    return ranked.where(F.col("place") >= MIN_COLLISIONS).drop("place")
 
 
 def pivot_pairs(lists: DataFrame, most: int, salt: int) -> DataFrame:
-    """Pairs (a, b, ca, cb): each member and, of the pivots of its lists that are in other components, the `most` it meets most often."""
-    pivot = F.min_by(F.struct("rep", "n", "component"), F.struct(F.xxhash64("rep", F.lit(salt)), "rep"))
+    """Pairs (a, b, ca, cb): each member and, of the pivots of its lists that are in other components, the `most` it meets most often.
+
+    The pivot of a list is its heaviest member in the first round, as a member in the middle of a group is linked with most of it, then any one.
+    """
+    pivot = F.min_by(F.struct("rep", "n", "component"), F.struct(F.lit(0) if salt else -F.col("weight"), F.xxhash64("rep", F.lit(salt)), "rep"))
     mixed = lists.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), pivot.alias("y")).where("lo <> hi")
     both = lists.alias("x").join(mixed.select("list", "y"), "list").where(F.expr(f"x.component <> y.component AND {_sizes_fit()}"))
     pairs = both.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.count("*").alias("c"), F.min("x.component").alias("ca"), F.min("y.component").alias("cb"))
@@ -161,7 +168,7 @@ def links(docs: DataFrame, feats: DataFrame) -> tuple[DataFrame, DataFrame]:
         if new.isEmpty():
             continue
         to = components(new, "ca", "cb").toDF("component", "to")
-        lists = materialise(lists.join(to, "component", "left").select("list", "rep", "n", F.coalesce("to", "component").alias("component")), "lists")
+        lists = materialise(lists.join(to, "component", "left").select("list", "rep", "n", "weight", F.coalesce("to", "component").alias("component")), "lists")
     discard(sets)
     return lists.select("rep", "component").distinct(), classes
 
