@@ -29,7 +29,7 @@ from tessella.llm.common import discard, materialise, packed, unpacked, with_row
 EDITS = 2
 #: A line allows an edit for each so many code points.
 CHARS_PER_EDIT = 12
-#: A key under which more lines than this are indexed is crowded.
+#: A key under which more lines than this, of which there are two at least, are indexed is crowded.
 CROWD = 2
 
 
@@ -125,13 +125,17 @@ def segment_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 
 
 def probe_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Probes of lines (id, line, n): id_p, key, under which lines of at most this length that are within their edits are found."""
+    """Probes of lines (id, line, n): probe, key, under which lines of at most this length that are within their edits are found.
+
+    The probe is 2 * id, and one more where it is a segment of the line's own, so that the line is indexed under the key too.
+    """
     places = lambda e, s: [(k, t) for k in range(e + 1) for t in range(max(-k, s - (e - k)), min(k, s + (e - k)) + 1)]
     tries = [(e, s, k, t) for e in range(1, edits + 1) for s in range(e + 1) for k, t in places(e, s)]
     listed = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip("eskt", row, strict=True)]) for row in tries])
     each = lines.where(F.col("n") >= CHARS_PER_EDIT).select("id", "line", "n", F.inline(listed)).where(allowed(F.col("n") - F.col("s"), edits) == F.col("e"))
     key = _key(F.col("line"), F.col("n") - F.col("s"), F.col("e"), F.col("k"), F.col("t"), F.col("n"))
-    return each.select(F.col("id").alias("id_p"), key.alias("key")).where("key IS NOT NULL")
+    own = F.when((F.col("s") == 0) & (F.col("t") == 0), 1).otherwise(0)
+    return each.select((2 * F.col("id") + own).alias("probe"), key.alias("key")).where("key IS NOT NULL")
 
 
 def parities(line: Column) -> Column:
@@ -157,23 +161,25 @@ def _fits(x: str, y: str, edits: int) -> Column:
 
 def candidates(lines: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of the lines (id, line, n) that hold a segment of each other and have fitting parities, and the lines (id, line) of these and some more."""
-    index, probe = segment_keys(lines, edits), probe_keys(lines, edits)
-    crowded = materialise(index.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("key"), "crowded")
-    # a crowded key has a single row in the index, without a line: it tells which lines probe such keys, each indexed line among them
-    listed = index.join(crowded, "key", "left_anti").select("id", "key").union(crowded.select(F.lit(None).cast("long").alias("id"), "key"))
-    met = materialise(listed.join(probe, "key").where("id IS NULL OR id <> id_p").select("id", "id_p", F.when(F.col("id").isNull(), F.col("key")).alias("key")), "met")
-    wanted = met.select(F.explode(F.array("id", "id_p")).alias("id")).where("id IS NOT NULL").distinct()
+    # a key of one or two lines is kept with them; of a crowded key it is kept that it is one, as its lines are among those that probe it
+    index = segment_keys(lines, edits).groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("x"), F.max("id").alias("y"))
+    few = F.when(F.col("c") <= CROWD, F.array_distinct(F.array("x", "y")))
+    met = index.select("key", few.alias("few")).join(probe_keys(lines, edits), "key").withColumn("id_p", F.shiftright("probe", 1))
+    others = F.filter("few", lambda i: i != F.col("id_p"))
+    met = met.where(F.col("few").isNull() | (F.size(others) > 0))
+    met = materialise(met.select("id_p", others.alias("few"), F.when(F.col("few").isNull(), F.col("key")).alias("key"), (F.col("probe") % 2 == 1).alias("own")), "met")
+    wanted = met.select(F.explode(F.concat(F.coalesce("few", F.array().cast("array<bigint>")), F.array("id_p"))).alias("id")).distinct()
     held = materialise(lines.join(wanted, "id", "left_semi").select("id", "line", parities(F.col("line")).alias("bits")), "held", "zstd")
     bits = held.select("id", "bits")
     bits_p = held.select(F.col("id").alias("id_p"), F.col("bits").alias("bits_p"))
     fits = _fits("bits", "bits_p", edits)
-    x = index.join(crowded, "key", "left_semi").join(bits, "id")
-    y = met.where("id IS NULL").select("id_p", "key").join(bits_p, "id_p")
+    crowded = met.where("few IS NULL").select("id_p", "key", "own")
+    x = crowded.where("own").select(F.col("id_p").alias("id"), "key").join(bits, "id")
+    y = crowded.select("id_p", "key").join(bits_p, "id_p")
     dense = x.join(y, (x["key"] == y["key"]) & (F.col("id") != F.col("id_p")) & fits).select("id", "id_p")
-    sparse = met.where("id IS NOT NULL").select("id", "id_p").distinct().join(bits, "id").join(bits_p, "id_p").where(fits).select("id", "id_p")
+    sparse = met.select("id_p", F.explode("few").alias("id")).distinct().join(bits, "id").join(bits_p, "id_p").where(fits).select("id", "id_p")
     pairs = materialise(dense.union(sparse).select(F.least("id", "id_p").alias("a"), F.greatest("id", "id_p").alias("b")).distinct(), "pairs")
     discard(met)
-    discard(crowded)
     return pairs, held.select("id", "line")
 
 
