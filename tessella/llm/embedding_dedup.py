@@ -1,26 +1,29 @@
 """Embedding near-duplicates by a robust-pruned flat graph over overlapping cluster shards.
 
 1. Equal vectors of a label are one class; one representative of each goes on.
-2. Cluster centres of each label are fitted on a bounded sample. A vector belongs to its nearest centre (home) and to
-   OVERLAP - 1 more, so shards overlap.
+2. Each (label, length) is a cell. A cell of more than 2 * SHARD vectors is split: cluster centres are fitted on a bounded sample of it, a
+   vector goes to its nearest centre's cell (home), and copies of it to the next ones, so cells overlap. That is repeated until the cells
+   are small: the shards. Centres stay a table beside the cells; none of it passes the driver.
 3. In each shard a flat graph is built point by point: a greedy search from the medoid finds candidates, robust pruning keeps
    at most DEGREE of them in different directions, and reverse edges are added. The adjacency lists that a vector has in its
    shards are united.
 4. Every vector is searched in its home shard, over the united lists: a greedy search from the medoid, then, as long as members
    within the threshold are found, their neighbours too (range expansion). Every link is verified in double precision.
    The links of all shards, each once, are counted, and all of them are the edges of the components.
-5. Audit: vectors whose number is divisible by 20 are compared with all vectors of the label, in blocks. As long as a label
-   misses a link of these, each vector of it is compared whole with the home members of more of its nearest shards: first its own
-   OVERLAP, then twice as many each time, at last all. audited_links and audited_found of these vectors are what brute force
-   finds and what the result holds of it.
+5. Audit: vectors whose number is divisible by 20 are compared with all vectors of the label, in blocks. The labels of which less than RECALL of
+   these links was found are dealt, built and searched again with more copies; what still misses links after that is compared in blocks.
+   audited_links is what brute force finds for such a vector, audited_found what the first search found of it, audited_held what the result holds.
 
 Cases: a null label, and a vector that is null, empty, zero or holds null, NaN or infinite components link with nothing; equal vectors link
-with each other; vectors of different length of a label are never compared; rows that repeat a vec_id are vectors of their own; an empty table gives an empty
-result; extra columns are ignored.
+with each other; vectors of different length of a label are never compared; ties between centres go to the first; vectors that no centres tell
+apart stay one larger shard; rows that repeat a vec_id, or have none, are vectors of their own; very long vectors are compared like others; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from heapq import heappop, heappush, heappushpop
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -30,60 +33,69 @@ from pyspark.sql import functions as F
 from tessella.llm.common import components, discard, map_arrow, materialise, with_rows
 
 THRESHOLD = 0.98
-SHARD, OVERLAP = 200, 3
-#: Bounds of the sample that centres are fitted on, and of the centres (both for all labels together).
-SAMPLE, MAX_CENTRES = 20_000, 4096
+#: Vectors of a shard (twice as many at most, where centres tell them apart), and cells that a vector goes to in a split, at first and in repeats.
+SHARD, COPIES = 200, (3, 6)
+#: Cells that a cell is split into at once, vectors for each that their centres are fitted on, and rounds of splitting.
+FAN, SAMPLE, ROUNDS = 16, 8, 16
 DEGREE, BEAM, ALPHA = 16, 24, 1.2
-AUDIT = 20
+AUDIT, RECALL = 20, 0.99
+AUDITED = ("audited_links", "audited_found", "audited_held")
 #: Vectors of a block that is compared with another.
 BLOCK = 1024
 
 
-def centres(vectors: DataFrame, shard: int = SHARD, sample: int = SAMPLE, max_centres: int = MAX_CENTRES) -> dict[tuple[int, int], np.ndarray]:
-    """Unit cluster centres of each (label, length) that needs more than one shard, by spherical k-means on a sample by hash."""
-    n = vectors.count()
-    part = vectors if n <= sample else vectors.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_003)) < int(1_000_003 * sample / n))
-    rows = part.select("label", "vec").orderBy("label", F.xxhash64("vec")).toPandas()
-    out = {}
-    scale = max(1.0, n / max(1, len(rows)))
-    for key, own in rows.groupby(["label", rows["vec"].str.len()], sort=True):
-        k = int(min(np.ceil(len(own) * scale / shard), max(1, max_centres * len(own) // max(1, len(rows)))))
-        if k < 2:
-            continue
-        x = np.stack(own["vec"].to_numpy()).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        c = x[np.random.default_rng(5).permutation(len(x))[:k]]
-        for _ in range(4):
-            near = (x @ c.T).argmax(axis=1)
-            sums = np.zeros_like(c)
-            np.add.at(sums, near, x)
-            norm = np.linalg.norm(sums, axis=1, keepdims=True)
-            c = np.where(norm > 0, sums / np.maximum(norm, 1e-12), c)
-        out[key] = c
-    return out
-
-
-def assigned(vectors: DataFrame, of: dict[tuple[int, int], np.ndarray], first: int = 0, end: int = OVERLAP) -> DataFrame:
-    """A row for each vector and shard of it, from the first-th nearest on: label, dim, shard, home (its nearest shard), rep, vec."""
-    known = vectors.sparkSession.sparkContext.broadcast(of)  # at most MAX_CENTRES vectors
-
-    def f(batch: pa.RecordBatch) -> pa.Table:
-        pdf = batch.to_pandas()
-        rows = []
-        for label, rep, vec in zip(pdf["label"], pdf["rep"], pdf["vec"], strict=True):
-            c = known.value.get((label, len(vec)))
-            shards = [0] if c is None else np.argsort(-(c @ vec), kind="stable")[:end].tolist()
-            rows += [(label, len(vec), s, shards[0], rep, vec) for s in shards[first:]]
-        cols = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()))
-        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["label", "dim", "shard", "home", "rep", "vec"])
-
-    return map_arrow(vectors.select("label", "rep", "vec"), f, "label long, dim int, shard int, home int, rep long, vec array<double>")
+def _centres(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Unit centres of a cell by spherical k-means on its sample."""
+    pdf = pdf.sort_values("rep", ignore_index=True)
+    x, k = _unit(pdf), min(int(pdf["k"].iloc[0]), len(pdf))
+    c = x[np.random.default_rng(5).permutation(len(x))[:k]]
+    for _ in range(4):
+        sums = np.zeros_like(c)
+        np.add.at(sums, (x @ c.T).argmax(axis=1), x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(norm > 1e-9, sums / np.maximum(norm, 1e-12), c)
+    return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "centres": [c.ravel().tolist()]})
+
+
+def _nearest(batch: pa.RecordBatch, copies: int) -> pa.Table:
+    """The children of its cell that each vector goes to: a home row to `copies` of them, a copy to one."""
+    take, child, home = [], [], []
+    flags = batch.column("home").to_pylist()
+    for i, (vec, centres) in enumerate(zip(batch.column("vec"), batch.column("centres"), strict=True)):
+        v = vec.values.to_numpy()
+        near = np.argsort(-(centres.values.to_numpy().reshape(-1, len(v)) @ (v / np.abs(v).max())), kind="stable")[: copies if flags[i] else 1].tolist()
+        take += [i] * len(near)
+        child += near
+        home += [flags[i] and j == 0 for j in range(len(near))]
+    at = pa.array(take, pa.int64())
+    kept = [batch.column(c).take(at) for c in ("label", "dim", "cell", "rep", "vec")]
+    return pa.table([*kept, pa.array(child, pa.int32()), pa.array(home, pa.bool_())], names=["label", "dim", "cell", "rep", "vec", "child", "home"])
+
+
+def dealt(vectors: DataFrame, shard: int = SHARD, copies: int = COPIES[0]) -> DataFrame:
+    """A row for each vector (label, rep, vec) and shard of it: label, dim, cell, home, rep, vec."""
+    cells = vectors.select("label", F.size("vec").alias("dim"), F.xxhash64("label", F.size("vec")).alias("cell"), F.lit(True).alias("home"), "rep", "vec")
+    done = None
+    for depth in range(ROUNDS):
+        large = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard)
+        large = materialise(large.select("cell", "n", F.least(F.lit(FAN), F.ceil(F.col("n") / shard)).cast("int").alias("k")), "large")
+        if large.isEmpty():
+            break
+        small = cells.join(large, "cell", "left_anti")
+        done = small if done is None else done.union(small)
+        rest = cells.join(large, "cell")
+        part = rest.where(F.pmod(F.xxhash64("rep", F.lit(depth)), F.lit(1_000_003)) < 1_000_003 * F.lit(SAMPLE) * F.col("k") / F.col("n"))
+        centres = materialise(part.groupBy("cell").applyInPandas(_centres, "cell long, centres array<double>"), "centres")
+        split = map_arrow(rest.join(centres, "cell").select("label", "dim", "cell", "home", "rep", "vec", "centres"), lambda b: _nearest(b, copies), "label long, dim int, cell long, rep long, vec array<double>, child int, home boolean")
+        split = split.select("label", "dim", F.xxhash64("cell", "child").alias("cell"), "home", "rep", "vec")
+        lost = rest.join(centres, "cell", "left_anti").select(cells.columns)  # a cell whose sample came out empty stays for the next round
+        cells = materialise(split.union(lost), "cells")
+    return materialise(cells if done is None else done.union(cells), "shards")
 
 
 def compared(asked: DataFrame, held: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """Links of vectors (label, dim, shard, rep, vec) with those held by the same shard, all compared, in blocks: label, dim, asked, a, b."""
-    key = ["label", "dim", "shard"]
+    """Links of vectors (label, dim, rep, vec) with those held of the same label and length, all compared, in blocks: label, dim, asked, a, b."""
+    key = ["label", "dim"]
     count = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
     blocks = count(asked, "qs").join(count(held, "ps"), key)
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
@@ -107,22 +119,24 @@ def _unit(pdf: pd.DataFrame) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _greedy(q: np.ndarray, x: np.ndarray, graph: list[list[int]], start: int, beam: int, within: float | None = None) -> dict[int, float]:
-    """Visited places and their cosines; with `within`, all neighbours of places within it are visited as well."""
-    seen = {start: float(x[start] @ q)}
-    todo, done = [(-seen[start], start)], set()
-    while True:
-        todo = sorted(todo)[:beam] if within is None else [t for i, t in enumerate(sorted(todo)) if i < beam or -t[0] >= within]
-        at = next((p for _, p in todo if p not in done), None)
-        if at is None:
-            return seen
-        done.add(at)
+def _greedy(q: np.ndarray, x: np.ndarray, graph: list[list[int]], start: int, beam: int, within: float = 2.0) -> dict[int, float]:
+    """Visited places and their cosines: neighbours of the `beam` best places are visited, and of all places at least `within`."""
+    first = float(x[start] @ q)
+    seen, todo, best = {start: first}, [(-first, start)], [first]
+    while todo:
+        cos, at = heappop(todo)
+        if -cos < within and len(best) == beam and -cos < best[0]:
+            break
         fresh = [p for p in graph[at] if p not in seen]
         if fresh:
-            cos = x[fresh] @ q
-            for p, s in zip(fresh, cos.tolist(), strict=True):
+            for p, s in zip(fresh, (x[fresh] @ q).tolist(), strict=True):
                 seen[p] = s
-                todo.append((-s, p))
+                heappush(todo, (-s, p))
+                if len(best) < beam:
+                    heappush(best, s)
+                else:
+                    heappushpop(best, s)
+    return seen
 
 
 def _pruned(p: int, candidates: dict[int, float], x: np.ndarray, degree: int, alpha: float) -> list[int]:
@@ -167,37 +181,47 @@ def _adjacency(pdf: pd.DataFrame) -> pd.DataFrame:
 def _searched(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """All links (a, b), a < b, found from the vectors whose home the shard is."""
     pdf = pdf.sort_values("rep", ignore_index=True)
-    x, reps, shard = _unit(pdf), pdf["rep"].to_numpy(), int(pdf["shard"].iloc[0])
+    x, reps = _unit(pdf), pdf["rep"].to_numpy()
     place = {r: i for i, r in enumerate(reps.tolist())}
     graph = [[place[r] for r in near if r in place] for near in pdf["near"]]
     start = medoid(x)
-    mine = np.flatnonzero(pdf["home"].to_numpy() == shard).tolist()
+    mine = np.flatnonzero(pdf["home"].to_numpy()).tolist()
     found = {p: {o for o, s in _greedy(x[p], x, graph, start, BEAM, threshold).items() if s >= threshold and o != p} for p in mine}
     here = [(p, o) for p in mine for o in found[p] if p < o or p not in found.get(o, ())]
     one, two = reps[[p for p, _ in here]], reps[[o for _, o in here]]
     return pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two)})
 
 
+def searched(vectors: DataFrame, threshold: float, shard: int, copies: int) -> DataFrame:
+    """The links (a, b) that the graphs over shards give."""
+    shards = dealt(vectors, shard, copies)
+    key = ["label", "dim", "cell"]
+    near = shards.groupBy(*key).applyInPandas(_adjacency, "rep long, near array<long>")
+    near = materialise(near.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
+    got = shards.join(near, "rep").groupBy(*key).applyInPandas(lambda pdf: _searched(pdf, threshold), "a long, b long")
+    links = materialise(got.distinct(), "links")
+    discard(shards)
+    return links
+
+
 def audited(classes: DataFrame, threshold: float) -> DataFrame:
     """All links of the vectors whose number is divisible by AUDIT, by brute force over the label: label, dim, asked, a, b."""
-    whole = classes.select("label", F.size("vec").alias("dim"), F.lit(0).alias("shard"), "rep", "vec")
+    whole = classes.select("label", F.size("vec").alias("dim"), "rep", "vec")
     return compared(whole.where(F.col("rep") % AUDIT == 0), whole, threshold)
 
 
-def repaired(links: DataFrame, truth: DataFrame, classes: DataFrame, dealt: DataFrame, of: dict[tuple[int, int], np.ndarray], threshold: float) -> DataFrame:
-    """The links (a, b) with those that labels gain that miss a link of the audit, until they miss none or all their shards are compared."""
-    key, first, end = ["label", "dim"], 0, OVERLAP
-    home = dealt.where("shard = home")
-    while first < max([1, *map(len, of.values())]):
-        short = materialise(truth.join(links, ["a", "b"], "left_anti").select(*key).distinct(), "short")
+def repaired(links: DataFrame, truth: DataFrame, classes: DataFrame, threshold: float, shard: int) -> DataFrame:
+    """The links (a, b) with those that the labels gain of whose audited links less than RECALL is there."""
+    whole = classes.withColumn("dim", F.size("vec"))
+    for copies in (*COPIES[1:], None):
+        held = truth.join(links.withColumn("held", F.lit(1)), ["a", "b"], "left")
+        short = held.groupBy("label", "dim").agg((F.count("held") / F.count("*")).alias("recall")).where(F.col("recall") < RECALL)
+        short = materialise(short.select("label", "dim"), "short")
         if short.isEmpty():
             break
-        asked = classes.withColumn("dim", F.size("vec")).join(short, key, "left_semi")
-        visits = materialise(assigned(asked, of, first, end), "visits")
-        more = compared(visits, home.join(short, key, "left_semi"), threshold).select("a", "b")
+        asked = whole.join(short, ["label", "dim"], "left_semi")
+        more = searched(asked, threshold, shard, copies) if copies else compared(asked, asked, threshold).select("a", "b")
         links = materialise(links.union(more).distinct(), "links")
-        discard(visits)
-        first, end = end, 2 * end
     return links
 
 
@@ -214,25 +238,20 @@ def op7_embedding_near_dedup(embeddings: DataFrame, threshold: float = THRESHOLD
     rows = rows.withColumn("ok", usable()).withColumn("vec", F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0)))
     classes = rows.where("ok").groupBy("label", "vec").agg(F.min("_row").alias("rep"), F.count("*").alias("n"))
     classes = materialise(classes, "vectors")
-    of = centres(classes, shard)
-    dealt = materialise(assigned(classes, of), "shards")
-    key = ["label", "dim", "shard"]
-    near = dealt.groupBy(*key).applyInPandas(_adjacency, "rep long, near array<long>")
-    near = materialise(near.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
-    got = dealt.join(near, "rep").groupBy(*key).applyInPandas(lambda pdf: _searched(pdf, threshold), "a long, b long")
+    first = searched(classes, threshold, shard, COPIES[0])
     truth = materialise(audited(classes, threshold), "audit")
-    links = repaired(materialise(got.distinct(), "links"), truth, classes, dealt, of, threshold)
+    links = repaired(first, truth, classes, threshold, shard)
     comps = components(links).withColumnRenamed("node", "rep")
     ends = links.union(links.select("b", "a")).toDF("rep", "other")
     weight = ends.join(classes.select(F.col("rep").alias("other"), "n"), "other").groupBy("rep").agg(F.sum("n").alias("weight"))
-    held = truth.join(links.withColumn("held", F.lit(1)), ["a", "b"], "left")
-    audit = held.groupBy(F.col("asked").alias("rep")).agg(F.count("*").alias("audited_links"), F.count("held").alias("audited_found"))
-    per = classes.select("rep").join(weight, "rep", "left").join(audit, "rep", "left").fillna(0, ["audited_links", "audited_found"])
-    label = classes.join(per, "rep", "left").join(comps, "rep", "left").select("label", "vec", (F.col("n") - 1 + F.coalesce("weight", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"), "audited_links", "audited_found")
-    sure = rows.where("ok").join(label, ["label", "vec"]).select("_row", "vec_id", "n_links", "component", "audited_links", "audited_found")
-    rest = rows.where("NOT ok").select("_row", "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("_row").alias("component"), F.lit(None).cast("long").alias("audited_links"), F.lit(None).cast("long").alias("audited_found"))
+    held = truth.join(first.withColumn("first", F.lit(1)), ["a", "b"], "left").join(links.withColumn("last", F.lit(1)), ["a", "b"], "left")
+    audit = held.groupBy(F.col("asked").alias("rep")).agg(F.count("*").alias("audited_links"), F.count("first").alias("audited_found"), F.count("last").alias("audited_held"))
+    per = classes.select("rep").join(weight, "rep", "left").join(audit, "rep", "left").fillna(0, list(AUDITED))
+    label = classes.join(per, "rep", "left").join(comps, "rep", "left").select("label", "vec", (F.col("n") - 1 + F.coalesce("weight", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"), *AUDITED)
+    sure = rows.where("ok").join(label, ["label", "vec"]).select("_row", "vec_id", "n_links", "component", *AUDITED)
+    rest = rows.where("NOT ok").select("_row", "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("_row").alias("component"), *[F.lit(None).cast("long").alias(c) for c in AUDITED])
     out = sure.union(rest)
     if not rows.where("vec_id IS NULL OR vec_id <> _row").isEmpty():
         least = out.groupBy("component").agg(F.min("vec_id").alias("least"))
         out = out.join(least, "component").withColumn("component", F.col("least")).drop("least")
-    return out.select("vec_id", "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(True)).alias("kept"), "audited_links", "audited_found")
+    return out.select("vec_id", "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(True)).alias("kept"), *AUDITED)
