@@ -3,11 +3,13 @@
 Each document is its token ids and an end id. A document longer than a sequence is cut into full pieces; only its first
 piece may be shorter. Pieces are dealt at random into groups of bounded size; a group places its pieces best-fit,
 longest first, and then improves the bins by local search: one-for-one and two-for-one exchanges and moves between underfull
-bins, each of which raises the sum of squared fills, until bins run empty. The number of groups grows with the data, the
-size of a group doesn't, so a skewed source or one huge document changes nothing.
+bins, each of which raises the sum of squared fills, until no free bin is left to win or nothing raises it. The bins that a group leaves
+emptier than LEFT are packed anew with those of other groups, until one group is left. The number of groups grows with the
+data, the size of a group doesn't, so a skewed source or one huge document changes nothing.
 
-Cases: a null or empty text is a document of the end id alone; repeated rows are packed as often as they occur; an
-empty table gives an empty result; extra columns are ignored.
+Cases: a null or empty text is a document of the end id alone; repeated rows, and rows that repeat a doc_id or have none, are packed as often
+as they occur; ties go to the smaller doc_id and piece; a very long text is many full pieces; an empty table gives an empty result; extra columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces that one task packs together.
 GROUP_PIECES = 4096
+#: Bins emptier than this are packed again with those of other groups.
+LEFT = 0.9
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 300_000
 #: White space beside a space, and rarer kinds of white space: such texts are encoded whole.
@@ -139,20 +143,22 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int = CAPACITY, rounds: int = 50) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     """Exchanges items between underfull bins while the sum of squared fills rises; bins that run empty go.
 
-    The donors are the emptiest bins. From a donor an item moves into a bin with room for it; or one item of the donor is
+    From a donor an item moves into a bin with room for it; or one item of the donor is
     exchanged for a smaller one of a fuller bin; or for two smaller ones whose sum is less. All make the fuller bin fuller.
+    The emptiest quarter of the bins are donors at first, and more of them as soon as these find nothing.
     """
     bins = [b[:] for b in bins]
     fill = [sum(lengths[i] for i in b) for b in bins]
-    for _ in range(rounds):
+    share = 4
+    while share:
         under = sorted((k for k in range(len(bins)) if bins[k] and fill[k] < capacity), key=lambda k: (fill[k], k))
         if len(under) < 2 or sum(capacity - fill[k] for k in under) < capacity:
             break  # the free space is less than a bin: none can run empty
         changed = False
-        for d in under[: max(1, len(under) // 4)]:
+        for d in under[: max(1, len(under) // share)]:
             for t in reversed(under):
                 free = capacity - fill[t]
                 if t == d or not free or not bins[t] or fill[t] < fill[d]:
@@ -192,35 +198,53 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int = CAPA
                 if not bins[d]:
                     break
         if not changed:
-            break
+            share //= 2
     return [b for b in bins if b]
 
 
-def _pack(group: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    group = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+def _pack(group: pd.DataFrame, capacity: int, turn: int) -> pd.DataFrame:
+    """Places the pieces of a group: sequence_id, offset, fill of the sequence."""
+    group = group.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
     lengths = group["length"].to_numpy()
     full = int(np.searchsorted(-lengths, -capacity, "right"))
-    sequence, offset = np.arange(len(group), dtype=np.int64), np.zeros(len(group), np.int64)
+    sequence, offset, fill = np.arange(len(group), dtype=np.int64), np.zeros(len(group), np.int64), np.full(len(group), capacity)
     rest = lengths[full:].tolist()
     for k, b in enumerate(local_search(best_fit(rest, capacity), rest, capacity)):
         at = 0
         for i in b:
             sequence[full + i], offset[full + i] = full + k, at
             at += rest[i]
-    group["sequence_id"] = group["grp"].to_numpy() * (1 << 32) + sequence
-    group["offset"] = offset
+        fill[[full + i for i in b]] = at
+    group["sequence_id"] = (turn << 56) + (group["grp"].to_numpy() << 24) + sequence
+    group["offset"], group["fill"] = offset, fill
     return group
 
 
+def _packer(names: list[str], capacity: int, turn: int):
+    return lambda group: _pack(group, capacity, turn)[names]
+
+
 def pack(piece_rows: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to rows with doc_id, piece and length (at most capacity)."""
-    n = piece_rows.count()
-    groups = max(1, -(-n // group_pieces))
-    dealt = piece_rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
-    schema = dealt.select("doc_id", "piece", "start", "length", "ids_crc32", "grp").schema
-    schema = schema.add("sequence_id", "long").add("offset", "long")
-    packed = dealt.select("doc_id", "piece", "start", "length", "ids_crc32", "grp").groupBy("grp").applyInPandas(lambda g: _pack(g, capacity)[schema.names], schema)
-    return packed.drop("grp")
+    """Adds sequence_id and offset to rows with doc_id, piece, start, length (at most capacity) and ids_crc32."""
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    left, done, before = piece_rows.select(*columns), [], None
+    for turn in range(64):
+        n = left.count()
+        groups = max(1, -(-n // group_pieces))
+        dealt = left.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+        schema = dealt.select("*").schema.add("sequence_id", "long").add("offset", "long").add("fill", "long")
+        made = dealt.groupBy("grp").applyInPandas(_packer(schema.names, capacity, turn), schema)
+        if groups == 1 or groups == before:  # one group, or nothing won by the last turn
+            done.append(made.select(*columns, "sequence_id", "offset"))
+            break
+        made, before = materialise(made, "packed"), groups
+        again = F.col("fill") < int(LEFT * capacity)
+        done.append(made.where(~again).select(*columns, "sequence_id", "offset"))
+        left = made.where(again).select(*columns)
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
+    return out
 
 
 def op3_best_fit_packing(docs: DataFrame) -> DataFrame:

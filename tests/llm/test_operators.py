@@ -111,6 +111,19 @@ def test_local_search_empties_bins():
     assert len(bins) == 3 and sorted(i for b in bins for i in b) == list(range(6))
 
 
+def test_groups_share_their_last_bins(spark):
+    """Pieces in many small groups need one bin more than the bound at most, whatever their ids are."""
+    rng = random.Random(7)
+    rows = [(None, 0, 0, rng.randint(1, 300), i) for i in range(3000)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = packing.pack(pieces, group_pieces=64).collect()
+    fill = defaultdict(int)
+    for r in out:
+        fill[r["sequence_id"]] += r["length"]
+    bound = -(-sum(r[3] for r in rows) // 1024)
+    assert len(out) == 3000 and max(fill.values()) <= 1024 and len(fill) <= bound + 2
+
+
 def removed(texts, width):
     seen = defaultdict(int)
     for t in texts:
