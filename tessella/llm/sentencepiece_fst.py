@@ -1,15 +1,22 @@
-"""SentencePiece encoding and decoding by weighted finite-state transducers.
+"""SentencePiece encoding and decoding by weighted finite-state transducers over the tropical semiring.
 
-The model file is compiled into three machines. The normaliser writes U+2581 for a space, and one before the text. The piece
-machine reads characters along a trie and writes a piece's id, at a tropical weight of 1 for each piece. Byte fallback reads a character
-that no piece has, and writes the ids of its UTF-8 bytes. A byte-pair model isn't a sum of piece weights; the encoding of such a
-model is the one path on which each two neighbouring pieces are stable: merging their own text by the model's rules gives
-those two pieces again. So the piece machine's states remember the last piece, and only arcs to a stable neighbour exist.
-The input is composed with the machines place by place, and the shortest path is taken. No piece has U+2581 after
-another character, so paths of different words are independent, and a worker remembers those of words.
+A model file is compiled into three machines. The normaliser writes U+2581 for a space, and one before the text; other characters it
+copies. The piece machine reads characters along a trie; where a piece ends it writes the piece's id, at a weight of 1, and goes to the state
+that remembers this piece. Byte fallback reads a character that no piece has, and writes the ids of its UTF-8 bytes, at a weight of 1 each.
+
+The encoding of a byte-pair model isn't a sum of piece weights; it is the one path on which each two neighbouring pieces
+are stable: merging their own text by the model's rules gives those two pieces again. So from a state that remembers a piece, only the
+arcs of stable neighbours are compiled, when they are first asked for. The input, an acceptor of its characters, is composed with the machines place
+by place; a state of the composition is a place and a remembered piece. As all arcs lead to later places, one pass in their
+order relaxes each arc once (weights add along a path, the least is kept), and the path back from the last place is the
+encoding. No piece has U+2581 after another character, so the paths of different words are independent, and a worker remembers those of words.
+
+Only models whose normaliser is the identity but for spaces are compiled; others are refused with a ValueError.
 
 Cases: null text encodes to no ids and decodes to null; empty text to no ids; bytes that aren't valid on decoding become
-U+FFFD; equal rows encode alike; an empty table gives an empty result; extra columns are ignored.
+U+FFFD; equal rows encode alike; ties between paths go to the one found first; a very long text is composed word by word, a very long
+word in time linear in its length; an empty table gives an empty result; rows may repeat a doc_id or have none; extra columns are handed on by encode
+and decode, unless they have the name of what is added, and ignored by the query.
 """
 
 from __future__ import annotations
@@ -89,48 +96,49 @@ class PieceMachine:
             known = self.stable_pairs[key] = self.merge(a + b) == ([a, b] if a else [b])
         return known
 
-    def shortest(self, word: str) -> list[int]:
-        """Ids on the shortest path through the composition of a word with the machines.
+    def shortest(self, text: str) -> list[int]:
+        """Ids on the shortest path through the composition of a normalised text with the machines.
 
-        A state is a place and the last piece. As two neighbours of a path must be stable, at most one path reaches the end,
-        so going along the longest arcs first, and never into a state twice, finds the least weight.
+        reached[place] has, for each remembered piece ("" after byte fallback, and at the start), the least weight and the arc
+        that gave it: place and piece before, ids written.
         """
-        n, stable, ids, trie = len(word), self.stable, self.ids, self.trie
-        dead: set[tuple[int, str]] = set()
-        path: list[tuple[int, str, tuple | None]] = []  # place after the arc, piece, bytes' ids if byte fallback
-
-        def arcs(i: int) -> list[str]:
-            node, j, out = trie, i, []
-            while j < n and word[j] in node:
-                node = node[word[j]]
-                j += 1
-                if "" in node:
-                    out.append(node[""][0])
-            return out
-
-        tries = [arcs(0)]
-        while (path[-1][0] if path else 0) < n:
-            at, last = (path[-1][0], path[-1][1]) if path else (0, "")
-            if word[at] not in ids:
-                written = tuple(self.byte_ids[b] for b in word[at].encode("utf-8", "surrogatepass"))
-                path.append((at + 1, word[at], written))
-                tries.append(arcs(at + 1))
+        n, trie, known, stable = len(text), self.trie, self.stable_pairs, self.stable
+        reached: list[dict[str, tuple]] = [{} for _ in range(n + 1)]
+        reached[0][""] = (0, 0, "", ())
+        for at in range(n):
+            here = reached[at]
+            if not here:
                 continue
-            while tries[-1]:
-                piece = tries[-1].pop()
-                if (at + len(piece), piece) not in dead and stable("", piece) and stable(last, piece):
-                    path.append((at + len(piece), piece, None))
-                    tries.append(arcs(at + len(piece)))
+            if text[at] not in self.ids:  # byte fallback; such a character is no neighbour that could be merged
+                written = tuple(self.byte_ids[b] for b in text[at].encode("utf-8", "surrogatepass"))
+                last = min(here, key=lambda x: here[x][0])
+                reached[at + 1][""] = (here[last][0] + len(written), at, last, written)
+                continue
+            node = trie
+            for j in range(at, n):
+                node = node.get(text[j])
+                if node is None:
                     break
-            else:
-                tries.pop()
-                place, piece, _ = path.pop()
-                dead.add((place, piece))
-                while path and path[-1][2] is not None and not tries[-1]:  # byte fallback has no other arc
-                    tries.pop()
-                    place, piece, _ = path.pop()
-                    dead.add((place, piece))
-        return [i for _, piece, written in path for i in (written or (ids[piece],))]
+                if "" not in node:
+                    continue
+                piece, i = node[""]
+                best, least = None, 1 << 62
+                for last, way in here.items():
+                    if way[0] < least:
+                        fits = known.get((last, piece))
+                        if fits or (fits is None and stable(last, piece)):
+                            best, least = last, way[0]
+                if best is not None:
+                    old = reached[j + 1].get(piece)
+                    if old is None or least + 1 < old[0]:
+                        reached[j + 1][piece] = (least + 1, at, best, (i,))
+        if not reached[n]:
+            raise ValueError("no path through the machines")
+        at, piece, out = n, min(reached[n], key=lambda x: reached[n][x][0]), []
+        while at:
+            _, at, piece, written = reached[at][piece]
+            out.append(written)
+        return [i for written in reversed(out) for i in written]
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
