@@ -11,7 +11,8 @@
 4. Skip merging. Lists are never merged as a whole. The first rounds hold each member against one pivot of each of its lists, take
    those it meets most often, and join the components of the links found; lists within one component are skipped from then
    on. In the last round each list skips its largest component: only the members outside it are held against the others. Pairs that can't
-   reach the similarity are skipped by size, and by how many of a document's shingles any other component has.
+   reach the similarity are skipped by size, by how many of a document's shingles any other component has, and by parities: of 64 * PARITY_WORDS
+   classes of shingles, two documents differ in the parity of as many at most as they differ in shingles.
 5. Counting and verification. Collisions are counted from the two signatures; pairs over the match threshold are
    verified on full sets: 100 * intersection >= 75 * union. So no candidate link between components is lost, and a group of thousands of copies
    costs a few comparisons a member.
@@ -35,6 +36,7 @@ from tessella.llm.hashing import min_hashes, set_keys, shingle_sets
 COORDINATES = 48
 MIN_COLLISIONS = 17
 PERCENT = 75
+PARITY_WORDS = 16
 #: Pivots that a member is held against, by round.
 PIVOTS = (2, 4)
 
@@ -71,11 +73,20 @@ def _signatures(column: pa.Array) -> np.ndarray:
 
 
 def _sets(batch: pa.RecordBatch) -> pa.Table:
+    """The sets, and the parities of their classes of shingles, as words of 64 bits."""
     out: list[bytes] = []
+    words: list[np.ndarray] = []
+    classes = 64 * PARITY_WORDS
     for _, _, data, offsets in text_chunks(batch.column("text")):
         values, at = shingle_sets(data, offsets)
-        out += [values[at[i] : at[i + 1]].tobytes() for i in range(len(at) - 1)]
-    return pa.table({"rep": batch.column("rep"), "sig": batch.column("sig"), "shingles": pa.array(out, pa.binary())})
+        for i in range(len(at) - 1):
+            own = values[at[i] : at[i + 1]]
+            out.append(own.tobytes())
+            odd = np.bincount((own >> np.uint64(20)).astype(np.int64) % classes, minlength=classes) & 1
+            words.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+    bits = np.stack(words)
+    named = {f"p{k}": pa.array(np.ascontiguousarray(bits[:, k])) for k in range(PARITY_WORDS)}
+    return pa.table({"rep": batch.column("rep"), "sig": batch.column("sig"), "shingles": pa.array(out, pa.binary())} | named)
 
 
 def _verified(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -147,8 +158,11 @@ def left_pairs(lists: DataFrame, sets: DataFrame) -> DataFrame:
     common = each.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("s")
     m = materialise(each.join(common, "s", "left_semi").groupBy("rep").agg(F.count("*").alias("m")), "common")
     discard(each)
+    words = [f"p{k}" for k in range(PARITY_WORDS)]
     own = own.join(m, "rep").where(f"100 * m >= {PERCENT} * n")  # the other one has m shingles at least
-    fits = f"x.component <> y.component AND {_sizes_fit()} AND {100 + PERCENT} * least(x.m, y.m) >= {PERCENT} * (x.n + y.n) AND (y.component = y.main OR x.rep < y.rep)"
+    own = materialise(own.join(sets.select("rep", *words), "rep"), "mixed")
+    flips = " + ".join(f"bit_count(x.{p} ^ y.{p})" for p in words)
+    fits = f"x.component <> y.component AND {_sizes_fit()} AND {100 + PERCENT} * least(x.m, y.m) >= {PERCENT} * (x.n + y.n) AND {100 + PERCENT} * ({flips}) <= {100 - PERCENT} * (x.n + y.n) AND (y.component = y.main OR x.rep < y.rep)"
     both = own.where("component <> main").alias("x").join(own.alias("y"), F.expr(f"x.list = y.list AND {fits}"))
     return both.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.min("x.component").alias("ca"), F.min("y.component").alias("cb"))
 
@@ -161,7 +175,7 @@ def links(docs: DataFrame, feats: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = materialise(feats.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("_row").alias("rep"), F.min("sig").alias("sig")), "classes")
     lists = materialise(prefixes(classes).withColumn("component", F.col("rep")), "lists")
     wanted = classes.select(F.col("rep").alias("_row"), "sig").join(lists.select(F.col("rep").alias("_row")).distinct(), "_row", "left_semi")
-    sets = materialise(map_arrow(docs.select("_row", "text").join(wanted, "_row").select(F.col("_row").alias("rep"), "sig", "text"), _sets, "rep long, sig binary, shingles binary"), "sets")
+    sets = materialise(map_arrow(docs.select("_row", "text").join(wanted, "_row").select(F.col("_row").alias("rep"), "sig", "text"), _sets, "rep long, sig binary, shingles binary, " + ", ".join(f"p{k} long" for k in range(PARITY_WORDS))), "sets")
     for r in range(len(PIVOTS) + 1):
         pairs = pivot_pairs(lists, PIVOTS[r], r) if r < len(PIVOTS) else left_pairs(lists, sets)
         new = materialise(verify(pairs, sets), "links")
