@@ -169,6 +169,7 @@ def candidates(lines: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFra
     met = met.where(F.col("few").isNull() | (F.size(others) > 0))
     met = materialise(met.select("id_p", others.alias("few"), F.when(F.col("few").isNull(), F.col("key")).alias("key"), (F.col("probe") % 2 == 1).alias("own")), "met")
     wanted = met.select(F.explode(F.concat(F.coalesce("few", F.array().cast("array<bigint>")), F.array("id_p"))).alias("id")).distinct()
+    wanted = wanted.hint("merge")  # its size isn't bounded, and the estimate is that of a compressed file
     held = materialise(lines.join(wanted, "id", "left_semi").select("id", "line", parities(F.col("line")).alias("bits")), "held", "zstd")
     bits = held.select("id", "bits")
     bits_p = held.select(F.col("id").alias("id_p"), F.col("bits").alias("bits_p"))
