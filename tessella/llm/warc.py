@@ -4,9 +4,11 @@ An archive begins with a skippable frame (magic 0x184D2A5D) that holds the dicti
 record after it is one frame that was compressed with the dictionary. The reader decodes frame by frame, a small block of
 the file at a time, checks version line, required headers, Content-Length, the record's end and payload digests, and raises
 WarcError with the archive and the place otherwise. Tasks write archives of bounded size under names of their own, and
-only archives of tasks that succeeded are in the manifest that the reader goes by.
+only archives of tasks that succeeded are in the manifest that the reader goes by; those of failed attempts stay unread. A dictionary of more
+than 64 MB is refused on reading, so that a broken archive can't fill the memory.
 
-Cases: null html is an empty payload; a null url has no WARC-Target-URI; control characters of a url are percent-encoded; rows that
+Cases: null html is an empty payload; a null url has no WARC-Target-URI; control characters of a url are percent-encoded; a very long page is
+one record, and one archive; of equal payloads under the same largest page_id the row with the largest number is the response; rows that
 repeat a page_id are records of their own; a null page_id is kept; an empty table writes nothing and reads back empty; extra columns are ignored.
 """
 
@@ -174,11 +176,13 @@ def _page(urn: str | None) -> int | None:
 
 def planned(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, html, refers_to, revisit: of equal payloads of at least min_bytes that with the largest page_id is the response."""
-    rows = with_rows(pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")), "page_id").withColumn("_digest", F.sha1("html"))
-    last = rows.groupBy("_digest").agg(F.max(F.struct("page_id", "_row")).alias("last"))
-    joined = rows.join(last, "_digest")
-    revisit = (F.octet_length("html") >= min_bytes) & (F.col("last._row") != F.col("_row"))
-    return joined.select("page_id", "url", "html", F.col("last.page_id").alias("refers_to"), revisit.alias("revisit"))
+    rows = with_rows(pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")), "page_id")
+    keys = rows.select("_row", "page_id", F.sha1("html").alias("_digest"), F.octet_length("html").alias("_bytes"))
+    last = keys.groupBy("_digest").agg(F.max(F.struct("page_id", "_row")).alias("last"))
+    revisit = (F.col("_bytes") >= min_bytes) & (F.col("last._row") != F.col("_row"))
+    # only digests meet under a hot digest; the pages themselves are dealt by number
+    told = keys.join(last, "_digest").select("_row", F.col("last.page_id").alias("refers_to"), revisit.alias("revisit"))
+    return rows.join(told, "_row").select("page_id", "url", "html", "refers_to", "revisit")
 
 
 def write(plan: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
