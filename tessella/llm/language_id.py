@@ -5,8 +5,9 @@ neighbouring code points, and its hash picks a row of the log-probability matrix
 column a language, whatever the corpus size, so it can be broadcast.
 
 Cases: null text or text without a letter gives `und` with score 1.0; ties go to the language that sorts first; repeated rows
-are predicted alike; an empty table gives an empty result; with no labelled row at all every text is `und` with score
-0.0. Extra columns pass through untouched, whatever their names.
+are predicted alike, and count once in training; an empty table gives an empty result; with no labelled row at all every text is `und`, one with a
+letter with score 0.0; a very long text is scored whole, in time linear in its length; rows may repeat a doc_id or have none. Extra columns pass
+through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import map_arrow, text_chunks
+from tessella.llm.common import map_arrow, text_chunks, unpacked
 
 ORDERS = (2, 3)
 BITS = 16
 ALPHA = 0.1
-#: Bound on the documents that the matrix is fitted on: all eligible ones up to it, else a sample by hash of the id.
+#: Bound on the documents that the matrix is fitted on: all eligible ones up to it, else a sample by hash of text and language, each kept once.
 TRAIN_DOCS = 8_000
+#: Bound on the languages that are learned, the most frequent ones of the sample: 256 make a matrix of 64 MB.
+MAX_LANGUAGES = 256
 UND = "und"
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint64)
 
@@ -91,17 +94,21 @@ def _counts(batch: pa.RecordBatch, orders: tuple[int, ...], bits: int) -> pa.Tab
     })
 
 
-def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, orders: tuple[int, ...] = ORDERS, bits: int = BITS, alpha: float = ALPHA) -> LanguageModel:
-    """Fits the model on (doc_id, text, lang) rows with text and lang; at most about train_docs of them, picked by hash of doc_id.
+def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, orders: tuple[int, ...] = ORDERS, bits: int = BITS, alpha: float = ALPHA, max_languages: int = MAX_LANGUAGES) -> LanguageModel:
+    """Fits the model on (text, lang) rows with text and lang; on at most about train_docs distinct ones, whatever is repeated.
 
     What reaches the driver is the count matrix: at most 2**bits rows a language.
     """
-    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
+    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
     n = rows.count()
     if n > train_docs:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * train_docs / n))
-    prior = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        rows = rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_003)) < int(1_000_003 * train_docs / n))
+    rows = rows.distinct()
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    prior = {r["lang"]: r["n"] for r in most.collect()}
     languages = tuple(sorted(prior))
+    if len(languages) == max_languages:
+        rows = rows.where(F.col("lang").isin(list(languages)))
     counts = map_arrow(rows.select("text", "lang"), lambda b: _counts(b, orders, bits), "lang string, bucket int, n long")
     counts = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     matrix = np.full((1 << bits, max(1, len(languages))), alpha)
@@ -171,7 +178,13 @@ def op1_language_id(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """Pipeline stage: the documents whose text has an identified language; those predicted `und` go."""
-    columns = docs.columns
-    model = train(docs, train_docs)
-    return predict(docs, model, pred="_lang_pred", score="_lang_score").where(F.col("_lang_pred") != UND).select(*columns)
+    """Pipeline stage: the documents whose text has a language; those that are rejected, as their text is null or has no letter, go.
+
+    A row without a lang gets the predicted one, where anything could be learned; no document goes for want of labels. The model is
+    fitted without the held-out documents.
+    """
+    model = train(docs.where(~held_out()), train_docs)
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    found = predict(docs.select("text", rest.alias("_rest")), model).where((F.col("lang_pred") != UND) | (F.col("score") < 1))
+    learned = F.when(F.col("lang_pred") != UND, F.col("lang_pred"))
+    return unpacked(found, docs.columns, lang=F.coalesce(F.col("_rest.lang"), learned))
