@@ -125,9 +125,9 @@ def _score(texts: pa.Array, model: LanguageModel) -> tuple[list[str], np.ndarray
     """Language and posterior probability of each text."""
     n = len(texts)
     pred, score = [UND] * n, np.ones(n)
-    if not model.languages:
-        return pred, np.zeros(n)
     has_letter = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    if not model.languages:
+        return pred, np.where(has_letter, 0.0, 1.0)
     width = len(model.languages)
     for first, end, data, offsets in text_chunks(texts):
         points, at = _code_points(data, offsets)

@@ -150,8 +150,49 @@ def test_suffix_dedup(docs, rows, nothing, odd):
     assert suffix_dedup.op4_suffix_array_dedup(odd).count() == odd.count()
 
 
-def test_fingerprints(docs, rows, nothing):
-    split = lambda t: {p for p in re.split(r"\n+|(?<=[.!?|])\s+", t) if p}
+def peeled(text):
+    """The digests of a fingerprint, from its hex alone: any cell that is some digest's own is taken out of the digest's other cells."""
+    power, at, found = int(text[:2], 16), 2, set()
+    for _ in range(1 << power):
+        attempt = int(text[at : at + 2], 16)
+        n = fingerprint.ROWS_OF_CELLS * (fingerprint.CELLS << min(attempt, fingerprint.DOUBLINGS))
+        cells = [int(text[at + 2 + 16 * k : at + 18 + 16 * k], 16) for k in range(n)]
+        at += 2 + 16 * n
+        again = True
+        while again:
+            again = False
+            for c in [x for x in cells if x]:
+                high = (c - (1 << 64) if c >> 63 else c) >> 24
+                if xxh64(high) & 0xFFFFFF == c & 0xFFFFFF and c not in found:
+                    h = xxh64(c - (1 << 64) if c >> 63 else c, xxh64_int(attempt))
+                    m = n // 3
+                    for r in range(3):
+                        cells[((h >> (16 * r)) & 0xFFFF) % m + r * m] ^= c
+                    found.add(c)
+                    again = True
+                    break
+        assert not any(cells)
+    assert at == len(text)
+    return found
+
+
+def xxh64(value, seed=42):
+    import xxhash
+
+    return xxhash.xxh64(value.to_bytes(8, "little", signed=True), seed=seed).intdigest()
+
+
+def xxh64_int(value):
+    import xxhash
+
+    return xxhash.xxh64(value.to_bytes(4, "little", signed=True), seed=42).intdigest()
+
+
+def test_fingerprints(spark, docs, rows, nothing, odd):
+    long = {r["text"]: set(r["p"]) for r in docs.where("text IS NOT NULL").select("text", fingerprint.paragraphs(F.col("text")).alias("p")).collect()}
+    cut = lambda t: long.get(t) or {p for r in spark.createDataFrame([(t,)], "text string").select(fingerprint.paragraphs(F.col("text")).alias("p")).collect() for p in r["p"]}
+    plain = lambda t: {p for p in re.split(r"\n+|(?<=[.!?|])\s+", t) if p}
+    split_long = split = lambda t: plain(t) if all(len(p) <= fingerprint.LONG for p in plain(t)) else cut(t)
     like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     out = {r["doc_id"]: r for r in fingerprint.op5_fingerprints(docs).collect()}
     order = sorted(rows, reverse=True, key=lambda r: r[0])
@@ -161,7 +202,16 @@ def test_fingerprints(docs, rows, nothing):
         got = out[r[0]]
         assert got["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert abs(got["near_edited"] - like(split(t), split(edited))) < 1e-9 and abs(got["near_next"] - like(split(t), split(nxt))) < 1e-9
+        sets = []
+        for name, text in (("fingerprint", t), ("edited_fingerprint", edited)):
+            found = peeled(got[name])
+            assert len(found) == len(split_long(text))
+            sets.append(found)
+        assert abs(got["near_edited"] - like(*sets)) < 1e-9  # a function of the two fingerprints
     assert out[3]["fingerprint"] == out[4]["fingerprint"]
+    assert fingerprint.op5_fingerprints(odd).count() == odd.count()
+    least = docs.limit(3).withColumn("doc_id", F.lit(-(2**63)) + F.col("doc_id"))
+    assert fingerprint.op5_fingerprints(least).count() == 3
     assert fingerprint.op5_fingerprints(nothing).count() == 0
 
 
@@ -338,3 +388,182 @@ def test_clean_documents_stay(spark):
         now = stage(spark, now, "")
     assert {(r["doc_id"], r["text"]) for r in now.select("doc_id", "text").collect()} == {(r["doc_id"], r["text"]) for r in clean.select("doc_id", "text").collect()}
     assert F is not None
+
+
+# the odd cases, one table for all: null and repeated ids, repeated rows, very long texts, columns with clashing names
+
+
+CLASH = ("_row", "_rest", "_key", "kept", "spans", "_new", "_cut", "n_lines", "new_text", "lang_pred", "score", "id", "line", "component", "h")
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, rows):
+    rng = random.Random(11)
+    long = " ".join(words(rng, 12) + ("\n" if rng.random() < 0.2 else ".") for _ in range(3000))  # some 200,000 bytes
+    texts = [r[1] for r in rows] + [long, long, "é" * 20_000, words(rng, 30) + "\nOk"]
+    made = [(None if i % 6 == 0 else i % 9, t, None if i % 2 else "en", "s", len(t or ""), *[f"{c}{i}" for c in CLASH]) for i, t in enumerate(texts)]
+    return spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH))
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_hand_on_clashing_columns(spark, clashing, stage):
+    import corpus_pipeline
+
+    out = corpus_pipeline.STAGES[stage][1](spark, clashing, "")
+    assert out.columns == clashing.columns and dict(out.dtypes) == dict(clashing.dtypes)
+    got = {r["id"]: r for r in out.collect()}
+    had = {r["id"]: r for r in clashing.collect()}
+    assert got and all([got[i][c] for c in ("doc_id", "source", *CLASH)] == [had[i][c] for c in ("doc_id", "source", *CLASH)] for i in got)
+    changed = [i for i in got if got[i]["text"] != had[i]["text"]]
+    assert all(got[i]["n_chars"] == len(got[i]["text"]) for i in changed) and bool(changed) == (stage in (1, 3))
+
+
+@pytest.mark.parametrize("op", [language_id.op1_language_id, sentencepiece_fst.op2_sentencepiece, fingerprint.op5_fingerprints, quality.op8_quality, line_dedup.op10_line_dedup, minhash.op6_minhash_near_dedup, suffix_dedup.op4_suffix_array_dedup])
+def test_queries_take_odd_tables(clashing, op):
+    assert op(clashing).count() == clashing.count()
+
+
+def test_embeddings_odd(spark):
+    nothing = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    assert embedding_dedup.op7_embedding_near_dedup(nothing).count() == 0
+    rows = [(None, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (3, [1.0, 0.001], 1), (3, [0.0, 1.0], 1), (4, [1.0, 0.0, 0.0], 1), (5, [], 1), (6, [1e300, 1e-300], 1)]
+    out = embedding_dedup.op7_embedding_near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(r["n_links"] for r in out) == [0, 0, 0, 3, 3, 3, 3] and {r["component_id"] for r in out if r["n_links"]} == {3}
+
+
+def test_language_against_brute_force(spark):
+    """Every score and language of a table against naive Bayes with a count for each n-gram's bucket, text by text."""
+    rng = random.Random(12)
+    letters = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "ijklmnoé"}
+    rows = [(i, " ".join("".join(rng.choice(letters[x]) for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 12))), x) for i, x in enumerate(rng.choices(sorted(letters), k=120))]
+    rows += [(200, "É x", None), (201, "a", "aa"), (202, "123", "bb"), (203, None, "cc")]
+    import zlib
+
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i, _, _ in rows}
+    grams = lambda t: [int(b) for n in language_id.ORDERS for k in range(len(t) - n + 1) for b in language_id._buckets(np.array([ord(c) for c in t.lower()[k : k + n]], np.uint32), n, language_id.BITS)]
+    seen = {(t, x) for i, t, x in rows if not held[i] and t is not None and x}
+    count, docs_of = {x: defaultdict(int) for x in letters}, defaultdict(int)
+    for t, x in seen:
+        docs_of[x] += 1
+        for g in grams(t):
+            count[x][g] += 1
+    out = {r["doc_id"]: r for r in language_id.op1_language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for i, t, _ in rows:
+        assert out[i]["held_out"] == held[i]
+        if not any(c.isalpha() for c in t or ""):
+            assert (out[i]["lang_pred"], out[i]["score"]) == ("und", 1.0)
+            continue
+        log = {x: np.log(docs_of[x] / len(seen)) + sum(np.log((count[x][g] + language_id.ALPHA) / (sum(count[x].values()) + language_id.ALPHA * 2**language_id.BITS)) for g in grams(t)) for x in letters}
+        best = max(sorted(log), key=log.get)
+        assert out[i]["lang_pred"] == best and abs(out[i]["score"] - 1 / sum(np.exp(v - log[best]) for v in log.values())) < 1e-3
+
+
+def test_language_stage_without_labels(spark, docs):
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = {r["doc_id"] for r in language_id.keep_identified(bare).collect()}
+    assert kept == {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
+    filled = language_id.keep_identified(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en")))
+    assert {r["lang"] for r in filled.collect()} == {"en"}
+
+
+def test_label_model_against_rows():
+    """Expectation-maximisation over patterns against the same over single rows, with plain loops."""
+    rng = random.Random(13)
+    truth = [rng.random() < 0.6 for _ in range(400)]
+    says = lambda good, right: float(good if rng.random() < right else not good)
+    rows = [[says(g, 0.9), says(g, 0.8) if rng.random() < 0.7 else float("nan"), says(g, 0.7), says(g, 0.85)] for g in truth]
+    kinds = defaultdict(int)
+    for r in rows:
+        kinds[tuple("n" if v != v else v for v in r)] += 1
+    patterns = np.array([[float("nan") if v == "n" else v for v in k] for k in kinds])
+    model = quality.fit_labels(patterns, np.array(list(kinds.values()), float), tuple("abcd"), rounds=20)
+    good, bad, prior = [0.8] * 4, [0.8] * 4, 0.7
+    for _ in range(20):
+        p = []
+        for r in rows:
+            yes, no = prior, 1 - prior
+            for j, v in enumerate(r):
+                if v == v:
+                    yes *= good[j] if v else 1 - good[j]
+                    no *= 1 - bad[j] if v else bad[j]
+            p.append(yes / (yes + no))
+        for j in range(4):
+            own = [(q, r[j]) for q, r in zip(p, rows, strict=True) if r[j] == r[j]]
+            good[j] = min(0.999, max(0.5, (sum(q * v for q, v in own) + 4) / (sum(q for q, _ in own) + 5)))
+            bad[j] = min(0.999, max(0.5, (sum((1 - q) * (1 - v) for q, v in own) + 4) / (sum(1 - q for q, _ in own) + 5)))
+        prior = min(0.98, max(0.02, sum(p) / len(p)))
+    assert np.allclose(model.good, good, atol=1e-3) and np.allclose(model.bad, bad, atol=1e-3) and abs(model.prior - prior) < 1e-3
+    assert sum((q > 0.5) == g for q, g in zip(p, truth, strict=True)) > 0.9 * len(truth)
+
+
+def test_scorer_does_not_depend_on_partitions(spark):
+    rng = random.Random(14)
+    rows = [(words(rng, 20), rng.random()) for _ in range(120)]
+    one, many = (quality.train_scorer(spark.createDataFrame(rows, "text string, p double").repartition(n)) for n in (1, 7))
+    assert np.array_equal(one, many)
+    dealt = defaultdict(list)
+    for r in spark.createDataFrame(rows, "text string, p double").select("text", "p", F.xxhash64("text").alias("h")).collect():
+        dealt[r["h"] % quality.TRAIN_GROUPS].append((r["h"], r["text"], r["p"]))
+    want = sum(quality.learned([t for _, t, _ in sorted(g)], [p for _, _, p in sorted(g)], quality.BITS, 3, 0.5) * len(g) for g in dealt.values()) / len(rows)
+    assert np.allclose(one, want)
+
+
+def test_long_texts_are_sorted_in_parts(monkeypatch):
+    """The runs of a text in overlapping parts cover the same windows under the same anchors."""
+    import pyarrow as pa
+
+    from tessella.llm import common
+
+    rng = random.Random(15)
+    text = "".join(rng.choice("abc") for _ in range(3000)) + "x" * 500
+    batch = pa.RecordBatch.from_pydict({"_row": [7], "text": [text]})
+
+    def windows_of(size):
+        monkeypatch.setattr(common, "CHUNK_BYTES", size)
+        return {(s, r["a"], r["h"]) for b in suffix_dedup._runs(iter([batch]), 40, 9, True) for r in b.to_pylist() for s in range(r["lo"], r["hi"] + 1)}
+
+    assert windows_of(128) == windows_of(1 << 20) and len(windows_of(128)) == len(text) - 39
+
+
+def test_pipeline_against_brute_force(spark, rows, tmp_path, monkeypatch):
+    """run() on a table of its own: what each stage keeps, stage by stage, in plain Python."""
+    import corpus_pipeline
+
+    rng = random.Random(16)
+    base, passage = words(rng, 150).split(" "), words(rng, 70)
+    near = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in (3, 90)]
+    texts = [None, "12 34", *[" ".join(base)], *near, words(rng, 90) + " " + passage, words(rng, 80) + " " + passage + "\n" + words(rng, 30), words(rng, 60) + "\nthe same line of text in two\n", "the same line of text in two\n" + words(rng, 50)]
+    table = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    now = {i: t for i, t, *_ in table if t and any(c.isalpha() for c in t)}
+    seen: list[str] = []
+    for i in sorted(now):
+        kept = []
+        for x in now[i].split("\n"):
+            if x.strip():
+                again = any(x == y or (abs(len(x) - len(y)) <= 2 and within(x, y, edits_allowed(x, y))) for y in seen)
+                seen.append(x)
+                if again:
+                    continue
+            kept.append(x)
+        now[i] = "\n".join(kept)
+    least = {i: i for i in now}
+    for _ in now:
+        for i in now:
+            for j in now:
+                if 100 * len(shingles(now[i]) & shingles(now[j])) >= 75 * len(shingles(now[i]) | shingles(now[j])):
+                    least[i] = min(least[i], least[j])
+    now = {i: t for i, t in now.items() if least[i] == i}
+    ids = sorted(now)
+    for i, gone in zip(ids, removed([now[i].encode() for i in ids], 200), strict=True):
+        now[i] = bytes(b for b, g in zip(now[i].encode(), gone, strict=True) if not g).decode("utf-8", "ignore")
+    now = {i: t for i, t in now.items() if t.strip()}
+    from tokenizers import Tokenizer
+
+    tok = pytest.importorskip("public_tokenizers")
+    whole = Tokenizer.from_file(tok.path("byte_bpe_50k.json"))
+    want = {i: len(whole.encode(t, add_special_tokens=False).ids) + 1 for i, t in now.items()}
+    got = defaultdict(int)
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got[r["doc_id"]] += r["length"]
+    assert dict(got) == want and 3 <= len(want) < len(texts) - 2
