@@ -77,30 +77,31 @@ def _width(attempt: Column) -> Column:
     return F.call_function("shiftleft", F.lit(CELLS), F.least(attempt, F.lit(DOUBLINGS)))
 
 
-def _all_cells(attempt: Column) -> Column:
-    return F.sequence(F.lit(0), ROWS_OF_CELLS * _width(attempt) - 1)
+def _of_row(attempt: Column) -> Column:
+    return F.sequence(F.lit(0), _width(attempt) - 1)
 
 
 def _placed(ds: Column, attempt: Column) -> Column:
-    """Digests (u) with the cells, one a row, that the attempt's hash names."""
+    """Digests (u) with the places in each row (c0, c1, c2) that the attempt's hash names."""
 
-    def cells(x: Column) -> Column:
-        at = lambda r: (F.shiftrightunsigned(x["h"], 16 * r).bitwiseAND(F.lit(0xFFFF).cast("long")) % x["m"] + r * x["m"]).cast("int")
-        return F.struct(x["u"].alias("u"), *[at(r).alias(f"c{r}") for r in range(ROWS_OF_CELLS)])
+    def places(x: Column) -> Column:
+        at = lambda r: F.shiftrightunsigned(x["h"], 16 * r).bitwiseAND(x["m"])
+        return F.struct(x["u"].alias("u"), *[at(r).cast("int").alias(f"c{r}") for r in range(ROWS_OF_CELLS)])
 
-    hashed = F.transform(ds, lambda u: F.struct(u.alias("u"), F.xxhash64(attempt, u).alias("h"), _width(attempt).alias("m")))
-    return F.transform(hashed, cells)
+    hashed = F.transform(ds, lambda u: F.struct(u.alias("u"), F.xxhash64(attempt, u).alias("h"), (_width(attempt) - 1).cast("long").alias("m")))
+    return F.transform(hashed, places)
 
 
-def _xor_of(placed: Column, cell: Column) -> Column:
+def _xor_of(placed: Column, row: int, place: Column) -> Column:
     """The digests that belong to a cell, by xor."""
-    hits = lambda x: (x["c0"] == cell) | (x["c1"] == cell) | (x["c2"] == cell)
-    return F.aggregate(placed, F.lit(0).cast("long"), lambda sum, x: F.when(hits(x), sum.bitwiseXOR(x["u"])).otherwise(sum))
+    return F.aggregate(placed, F.lit(0).cast("long"), lambda sum, x: F.when(x[f"c{row}"] == place, sum.bitwiseXOR(x["u"])).otherwise(sum))
 
 
 def drawn(ds: Column, attempt: Column) -> Column:
-    """Cells of a part of these digests."""
-    return let(_placed(ds, attempt), lambda placed: F.transform(_all_cells(attempt), lambda c: _xor_of(placed, c)))
+    """Cells of a part of these digests, row by row."""
+    at = lambda placed, r: lambda p: _xor_of(placed, r, p)
+    rows = lambda placed: F.concat(*[F.transform(_of_row(attempt), at(placed, r)) for r in range(ROWS_OF_CELLS)])
+    return let(_placed(ds, attempt), rows)
 
 
 def peel(cells: Column, attempt: Column) -> Column:
@@ -108,7 +109,9 @@ def peel(cells: Column, attempt: Column) -> Column:
 
     def step(state: Column, _: Column) -> Column:
         def without(pure: Column) -> Column:
-            left = F.zip_with(state["cells"], _all_cells(attempt), lambda x, c: x.bitwiseXOR(_xor_of(pure, c)))
+            less = lambda r: lambda x, p: x.bitwiseXOR(_xor_of(pure, r, p))
+            own = lambda r: F.slice(state["cells"], r * _width(attempt) + 1, _width(attempt))
+            left = F.concat(*[F.zip_with(own(r), _of_row(attempt), less(r)) for r in range(ROWS_OF_CELLS)])
             goes_on = F.struct(left.alias("cells"), (state["found"] + F.size(pure)).alias("found"), F.lit(True).alias("more"))
             return F.when(F.size(pure) > 0, goes_on).otherwise(F.struct(state["cells"], state["found"], F.lit(False).alias("more")))
 
