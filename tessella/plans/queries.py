@@ -366,3 +366,7 @@ def vectorize(spark, d):
 def recommend(spark, d):
     """The flagship: three documents for each user message by lexical score, intent match and usage, with confidence and reason."""
     return ranking.recommend(_t(spark, d, "conversations").where("role = 'user'"), _t(spark, d, "documents"), ["conv_id", "turn"], "doc_id")
+
+
+# further groups of queries register themselves
+from tessella.plans import catalogue as _catalogue  # noqa: E402, F401
