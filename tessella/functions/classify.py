@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessella.functions.text import caps_words, normalised
+from tessella.functions.text import caps_words, let, normalised
 
 ANGRY = r"scam|thie(f|ves)|fraud|ridiculous|disgusting|worst|robbed|liars?"
 FRUSTRATED = r"still|again|waiting|no (reply|response|answer)|for (days|weeks)|how long"
@@ -59,12 +59,16 @@ def urgency(text: Column, amount: Column, wait_hours: Column) -> Column:
 
 def intent_scores(text: Column) -> Column:
     """Array of (intent, score): 1 - e^(-evidence / 2.2), from 0.15 on, best first; `general` at 0.3 where there is none."""
-    norm = F.coalesce(normalised(text), F.lit(""))
-    found = []
-    for intent, words in INTENTS.items():
-        raw = sum((F.when(F.contains(norm, F.lit(w)), 1.0).otherwise(0.0) for w in words), F.lit(0.0))
-        score = F.floor((1 - F.exp(-raw / CURVE)) * 100 + 0.5) / 100
-        found.append(F.struct((-score).alias("k"), F.lit(intent).alias("intent"), score.alias("score")))
-    best = F.slice(F.array_sort(F.filter(F.array(*found), lambda x: x["score"] >= LEAST)), 1, 3)
+
+    def scored(norm: Column) -> Column:
+        found = []
+        for intent, words in INTENTS.items():
+            raw = F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(norm, w)))
+            score = F.floor((1 - F.exp(-raw / CURVE)) * 100 + 0.5) / 100
+            found.append(F.struct((-score).alias("k"), F.lit(intent).alias("intent"), score.alias("score")))
+        return F.slice(F.array_sort(F.filter(F.array(*found), lambda x: x["score"] >= LEAST)), 1, 3)
+
     general = F.array(F.struct(F.lit("general").alias("intent"), F.lit(0.3).alias("score")))
-    return F.when(F.size(best) > 0, F.transform(best, lambda x: F.struct(x["intent"].alias("intent"), x["score"].alias("score")))).otherwise(general)
+    named = lambda best: F.transform(best, lambda x: F.struct(x["intent"].alias("intent"), x["score"].alias("score")))
+    best = let(F.coalesce(normalised(text), F.lit("")), scored)
+    return let(best, lambda b: F.when(F.size(b) > 0, named(b)).otherwise(general))

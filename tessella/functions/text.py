@@ -11,6 +11,11 @@ MAX_TOKEN = 32
 VOWELS = "[aeiouy]"
 
 
+def let(value: Column, f) -> Column:
+    """f of a column that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits; apostrophes between letters are dropped first."""
     joined = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(\p{L})['’](\p{L})", "$1$2")
@@ -45,8 +50,8 @@ def stem(token: Column) -> Column:
         .when(token.rlike("s$") & ~token.rlike("(ss|us|is)$") & (n >= 4), _less(token, 1))
         .otherwise(token)
     )
-    final = F.when((F.length(stripped) >= 5) & stripped.rlike("e$") & ~stripped.rlike("ee$"), _less(stripped, 1)).otherwise(stripped)
-    return F.when((n <= 3) | token.rlike(r"\d"), token).otherwise(final)
+    final = lambda s: F.when((F.length(s) >= 5) & F.endswith(s, F.lit("e")) & ~F.endswith(s, F.lit("ee")), _less(s, 1)).otherwise(s)
+    return F.when((n <= 3) | token.rlike(r"\d"), token).otherwise(let(stripped, final))
 
 
 def index_terms(token: Column) -> Column:

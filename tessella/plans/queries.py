@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import classify, scoring, text
+from tessella.functions import scoring, text
 from tessella.operators import entities, lexical, library, ranking, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -266,39 +266,6 @@ def caps_ratio(spark, d):
     return _t(spark, d, "documents").select("doc_id", text.caps_words(F.col("text")).alias("x")).select("doc_id", "x.words", "x.caps")
 
 
-_MESSAGE = "CASE o_orderkey % 6 WHEN 0 THEN 'My withdrawal has been pending for days, this is a scam!!!' WHEN 1 THEN 'Still waiting for my bonus, how long?' WHEN 2 THEN 'How do I verify my account? Not sure what documents.' WHEN 3 THEN 'Thank you, great support' WHEN 4 THEN 'I lost everything and can''t stop' ELSE 'Deposit of ' || CAST(o_orderkey AS VARCHAR) || ' USD' END"
-
-
-def _messages(spark, d) -> DataFrame:
-    return _t(spark, d, "orders").select("o_orderkey", F.expr(_MESSAGE.replace("''", "\\'").replace("VARCHAR", "STRING")).alias("message"))
-
-
-@query("SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'angry' WHEN 1 THEN 'frustrated' WHEN 2 THEN 'confused' WHEN 3 THEN 'positive' ELSE 'neutral' END AS sentiment FROM orders")
-def sentiment(spark, d):
-    """Sentiment of derived messages."""
-    return _messages(spark, d).select("o_orderkey", classify.sentiment(F.col("message")).alias("sentiment"))
-
-
-@query("SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'high' WHEN 4 THEN 'high' WHEN 3 THEN 'low' WHEN 5 THEN CASE WHEN o_orderkey >= 1000 THEN 'high' ELSE 'normal' END ELSE 'normal' END AS urgency FROM orders")
-def urgency(spark, d):
-    """Urgency of derived messages."""
-    amount = F.regexp_extract("message", r"(\d+) USD", 1).try_cast("double")
-    return _messages(spark, d).select("o_orderkey", classify.urgency(F.col("message"), amount, F.lit(None)).alias("urgency"))
-
-
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 4 THEN ['lost everything', 'can''t stop'] ELSE [] END AS signals FROM orders")
-def rg_signals(spark, d):
-    """Risk phrases of derived messages."""
-    return _messages(spark, d).select("o_orderkey", classify.phrases(F.col("message"), classify.RISK).alias("signals"))
-
-
-@query("SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'withdrawal_status' WHEN 1 THEN 'bonus' WHEN 2 THEN 'verification' WHEN 5 THEN 'deposit_missing' ELSE 'general' END AS intent, CAST(CASE o_orderkey % 6 WHEN 0 THEN 0.37 WHEN 1 THEN 0.37 WHEN 2 THEN 0.6 WHEN 5 THEN 0.37 ELSE 0.3 END AS DOUBLE) AS score FROM orders")
-def intents(spark, d):
-    """Top intent of derived messages."""
-    top = F.element_at(classify.intent_scores(F.col("message")), 1)
-    return _messages(spark, d).select("o_orderkey", top["intent"].alias("intent"), top["score"].alias("score"))
-
-
 @query("""WITH m AS (SELECT o_orderkey, [CAST(o_orderkey % 7 AS BIGINT), CAST(o_orderkey % 5 AS BIGINT), 3] AS a, [CAST(o_custkey % 7 AS BIGINT), 3, 4] AS b FROM orders)
 SELECT o_orderkey, list_sort(list_distinct(a || b)) AS both_or_one, list_sort(list_distinct(list_filter(a, lambda x: list_contains(b, x)))) AS common, list_sort(list_distinct(list_filter(a, lambda x: NOT list_contains(b, x)))) AS missing FROM m""")
 def intent_setops(spark, d):
@@ -370,3 +337,4 @@ def recommend(spark, d):
 
 # further groups of queries register themselves
 from tessella.plans import catalogue as _catalogue  # noqa: E402, F401
+from tessella.plans import messages as _message_queries  # noqa: E402, F401
