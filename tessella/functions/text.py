@@ -115,7 +115,7 @@ def placeholder(name: str) -> str:
 def render(template: Column, values: dict[str, Column]) -> Column:
     """Fills {{name}} and {{name|fallback}}: value, else fallback, else a placeholder; blank values count as missing.
 
-    The variables are those of `values`, so the expression has a fixed size.
+    The expression's size is that of `values`; variables that it doesn't name become their fallback, or a placeholder that keeps the name.
     """
     out = template
     for name, value in values.items():
@@ -125,7 +125,10 @@ def render(template: Column, values: dict[str, Column]) -> Column:
         safe = F.regexp_replace(given, r"([\\$])", r"\\$1")
         out = F.regexp_replace(out, F.lit(fall), F.coalesce(safe, F.lit("$1")))
         out = F.regexp_replace(out, F.lit(var), F.coalesce(safe, F.lit(placeholder(name))))
-    return out
+    out = F.regexp_replace(out, r"\{\{\s*[A-Za-z0-9_]+\s*\|\s*([^{}]*?)\s*\}\}", "$1")
+    rest = F.regexp_extract_all(out, F.lit(r"\{\{\s*([A-Za-z0-9_]+)\s*\}\}"), F.lit(1))
+    filled = lambda t, name: F.regexp_replace(t, F.concat(F.lit(r"\{\{\s*"), name, F.lit(r"\s*\}\}")), F.concat(F.lit("[ENTER "), F.upper(F.regexp_replace(name, "_", " ")), F.lit("]")))
+    return F.aggregate(F.array_distinct(rest), out, filled)
 
 
 def placeholders(text: Column) -> Column:
@@ -143,5 +146,6 @@ def iban_ok(iban: Column) -> Column:
 
 def slug(text: Column) -> Column:
     """Lower-case ASCII words joined by underscores; Latin letters lose their marks."""
-    plain = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(text), "ß", "ss"), "æ", "ae"), "œ", "oe")
+    plain = F.translate(plain, "àáâãäåāăąçćčďđèéêëēęěğìíîïīıłñńňòóôõöøōőřśşšţťùúûüūůűýÿźżž", "aaaaaaaaacccddeeeeeeegiiiiiilnnnoooooooorsssttuuuuuuuyyzzz")
     return F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "_"), "^_+|_+$", "")

@@ -31,12 +31,22 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def _block(structs: pa.StructArray, key: str, vector: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and unit vectors of a block, from Arrow's own buffers."""
+    flat = structs.field(vector).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    x = flat.reshape(len(structs), -1)
+    return structs.field(key).to_numpy(zero_copy_only=False), x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
     """The k nearest rows by cosine for each row of a stated query set: query blocks against the whole table, as matrix products.
 
     Queries are dealt into blocks of bounded size; each block meets each partition of the table once, keeps its own k best
     there, and the partial lists are merged.
     """
+    length = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    usable = lambda df: df.where(F.col(vector).isNotNull() & (F.size(vector) > 0) & F.coalesce((length > 0) & (length < float("inf")), F.lit(False)))
+    queries, vectors = usable(queries), usable(vectors)  # null, empty and zero vectors, and such with null or infinite parts, have no cosine
     n = queries.count()
     blocks = max(1, -(-n // block))
     q = queries.withColumn("b", F.pmod(F.xxhash64(key), F.lit(blocks))).groupBy("b").agg(F.collect_list(F.struct(key, vector)).alias("q"))
@@ -44,11 +54,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", v
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ask, rows in zip(batch.column("q"), batch.column("rows"), strict=True):
-                asked, held = ask.as_py(), rows.as_py()
-                x = np.array([r[vector] for r in asked], np.float64)
-                y = np.array([r[vector] for r in held], np.float64)
-                s = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
-                ids, other = np.array([r[key] for r in asked]), np.array([r[key] for r in held])
+                (ids, x), (other, y) = _block(ask.values, key, vector), _block(rows.values, key, vector)
+                s = x @ y.T
                 s[ids[:, None] == other[None, :]] = -2
                 for i in range(len(ids)):
                     best = np.lexsort((other, -s[i]))[: k + 1]

@@ -297,16 +297,15 @@ def event_summary(spark, d):
 
 @query()
 def entity_spans(spark, d):
-    """Entities of each turn."""
-    return entities.entity_rows(_t(spark, d, "conversations").withColumn("key", F.concat_ws(":", "conv_id", "turn")), "key", F.col("text"))
+    """Entities of each document."""
+    return entities.entity_rows(_t(spark, d, "documents"), "doc_id", F.col("text"))
 
 
 @query()
 def pii_spans(spark, d):
     """Personal data of each document, and how long its masked text is."""
-    docs = _t(spark, d, "documents")
-    found = F.filter(entities.entities(F.col("text")), lambda e: e["kind"].isin(*entities.PERSONAL))
-    return docs.select("doc_id", F.size(found).cast("long").alias("n_personal"), F.char_length(entities.masked(F.col("text"))).cast("long").alias("masked_chars"))
+    found = entities.personal_parts(_t(spark, d, "documents"), "doc_id", F.col("text"))
+    return found.select("doc_id", "n_personal", F.char_length("masked").cast("long").alias("masked_chars"))
 
 
 @query()
@@ -317,9 +316,9 @@ def question_spans(spark, d):
 
 @query()
 def grounding(spark, d):
-    """Claims of assistant turns that no user turn of the conversation has."""
-    c = _t(spark, d, "conversations")
-    return entities.ungrounded(c.where("role <> 'user'").select("conv_id", "text"), c.where("role = 'user'").select("conv_id", "text"), "conv_id")
+    """Claims of each document that its earlier neighbour, as its source, doesn't have."""
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    return entities.ungrounded(docs, docs.select((F.col("doc_id") + 1).alias("doc_id"), "text"), "doc_id")
 
 
 @query()
