@@ -337,3 +337,4 @@ def recommend(spark, d):
 # further groups of queries register themselves
 from tessella.plans import catalogue as _catalogue  # noqa: E402, F401
 from tessella.plans import messages as _message_queries  # noqa: E402, F401
+from tessella.plans import concepts as _concept_queries  # noqa: E402, F401

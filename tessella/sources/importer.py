@@ -3,24 +3,28 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from tessella.functions.text import title_key
 
-#: Accepted names of each field, first one present wins; compared in lower case without space, _ and -.
+#: Accepted names of each field, first one present wins; compared in lower case without space, _ and -. Files must be read alike.
 FIELDS = {
-    "title": ("title", "name", "subject"),
-    "body": ("body", "text", "content", "message", "reply"),
+    "title": ("title", "name", "macro", "macroname"),
+    "body": ("body", "text", "content", "message", "reply", "template"),
     "category": ("category", "folder", "group"),
     "tags": ("tags", "labels"),
-    "intents": ("intents", "intent", "topic"),
-    "triggers": ("triggers", "keywords"),
-    "notes": ("notes", "note"),
-    "shortcut": ("shortcut", "hotkey"),
+    "intents": ("intents", "intent"),
+    "triggers": ("triggers", "examples", "examplequestions"),
+    "notes": ("notes", "note", "internalnote"),
+    "shortcut": ("shortcut", "code", "key"),
+    "facts": ("facts",),
 }
+FACT = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("key", "statement", "value", "source", "status")]))
+#: What an import refuses as a whole.
+MAX_BYTES, MAX_ITEMS = 30 * 1024 * 1024, 20_000
 LISTS = ("tags", "intents", "triggers")
 LIMITS = {"title": 200, "body": 20_000, "category": 80, "notes": 2000, "shortcut": 40}
 ITEM = T.StructType([T.StructField(f, T.StringType()) for f in FIELDS])
@@ -45,8 +49,9 @@ def _fields(df: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
     """RFC 4180 with a header; the delimiter is read off the first line unless given."""
     if delimiter is None:
-        head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-        delimiter = detect_delimiter(head[0][0]) if head else ","
+        first = F.min_by("value", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
+        head = spark.read.text(path).where(F.trim("value") != "").agg(first.alias("line")).collect()[0]["line"]
+        delimiter = detect_delimiter(head) if head else ","
     return _fields(spark.read.csv(path, header=True, sep=delimiter, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE"))
 
 
@@ -60,12 +65,12 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_blocks(texts: DataFrame, text: str = "value") -> DataFrame:
-    """Pasted text: blocks between `---` lines; the first line is the title, then `Key: value` lines, the rest is the body."""
+    """Pasted text: blocks between `---` lines, or from a `### ` heading on; the first line is the title, then `Key: value` lines, the rest is the body."""
     clean = F.regexp_replace(F.regexp_replace(F.col(text), "^﻿", ""), r"\r\n?", "\n")
-    blocks = texts.select(F.explode(F.split(clean, r"(?m)^\s*---\s*$")).alias("b")).select(F.trim(F.regexp_replace("b", r"^\s+|\s+$", "")).alias("b")).where("b <> ''")
+    blocks = texts.select(F.explode(F.split(clean, r"(?m)^\s*---\s*$|^(?=### )")).alias("b")).select(F.trim(F.regexp_replace("b", r"^\s+|\s+$", "")).alias("b")).where("b <> ''")
     title = F.regexp_replace(F.regexp_extract("b", r"^([^\n]*)", 1), r"^#+\s*", "")
     rest = F.regexp_replace("b", r"^[^\n]*\n?", "")
-    head = F.regexp_extract(rest, r"(?i)^((?:(?:category|tags|intents|triggers|notes|shortcut)\s*:[^\n]*(?:\n|$))*)", 1)
+    head = F.regexp_extract(rest, r"(?i)^((?:(?:category|tags|intents|triggers|notes|shortcut|facts)\s*:[^\n]*(?:\n|$))*)", 1)
     value = lambda k: F.nullif(F.trim(F.regexp_extract(head, rf"(?im)^{k}\s*:([^\n]*)$", 1)), F.lit(""))
     body = F.regexp_replace(F.substring(rest, F.length(head) + 1, F.length(rest)), r"^\s+|\s+$", "")
     return blocks.select(F.trim(title).alias("title"), body.alias("body"), *[value(f).alias(f) for f in FIELDS if f not in ("title", "body")])
@@ -108,6 +113,52 @@ def validated(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, judged.where(F.size("problems") > 0).select("title", F.explode("problems").alias("problem"))
 
 
+def known_intents(values: Column, intents: dict[str, str]) -> Column:
+    """A struct (known, unknown): ids of the intents that a list names by id or label, and what it names besides, at most five, as that is what a report shows."""
+    from tessella.functions.text import slug as slugged
+
+    plain = F.transform(values, lambda x: slugged(x))
+    labels = {k: k for k in intents} | {label: k for k, label in intents.items()}
+    table = F.create_map(*[x for label, k in labels.items() for x in (slugged(F.lit(label)), F.lit(k))])
+    found = F.transform(plain, lambda x: F.try_element_at(table, x))
+    unknown = F.filter(F.transform(values, lambda x, i: F.when(F.get(found, i).isNull(), x)), lambda x: x.isNotNull())
+    return F.struct(F.array_distinct(F.array_compact(found)).alias("known"), F.slice(unknown, 1, 5).alias("unknown"))
+
+
+def facts_of(items: DataFrame, key: str = "title") -> DataFrame:
+    """Facts of items from their JSON: key, fact_key, statement, value, source, status; an array or a single object.
+
+    A source that isn't a web address is dropped; a missing key is made of the statement; keys that repeat within an item get _2, _3 and so on.
+    """
+    from tessella.functions.text import slug
+
+    one = F.from_json(F.concat(F.lit("["), F.col("facts"), F.lit("]")), FACT)
+    parsed = F.when(F.startswith(F.ltrim("facts"), F.lit("[")), F.from_json("facts", FACT)).otherwise(one)
+    each = items.where("facts IS NOT NULL").select(F.col(key), F.posexplode(parsed).alias("pos", "f")).where(F.coalesce(F.trim("f.statement"), F.lit("")) != "")
+    named = each.withColumn("k", F.coalesce(F.nullif(F.trim("f.key"), F.lit("")), slug(F.col("f.statement"))))
+    turn = F.row_number().over(Window.partitionBy(key, "k").orderBy("pos"))
+    numbered = named.withColumn("turn", turn)
+    return numbered.select(
+        key, F.when(F.col("turn") > 1, F.concat("k", F.lit("_"), F.col("turn").cast("string"))).otherwise(F.col("k")).alias("fact_key"), F.trim("f.statement").alias("statement"), "f.value",
+        F.when(F.col("f.source").rlike("(?i)^https?://"), F.col("f.source")).alias("source"), F.coalesce("f.status", F.lit("unchecked")).alias("status"),
+    )
+
+
+def parse_import(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Items and problems (title, problem) of a file of a kind: csv, json or text. Too large files, too many items and empty ones give no item and one problem."""
+    readers = {"csv": read_csv, "json": read_json, "text": read_text}
+    if kind not in readers:
+        raise ValueError(f"unknown kind of import: {kind}")
+    size = spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).collect()[0]["n"]
+    items = readers[kind](spark, path)
+    n = items.count() if 0 < size <= MAX_BYTES else 0
+    refusal = f"larger than {MAX_BYTES} bytes" if size > MAX_BYTES else f"more than {MAX_ITEMS} items" if n > MAX_ITEMS else "no content" if n == 0 else None
+    if refusal is None:
+        return validated(items)
+    good, problems = validated(items.limit(0))
+    return good, problems.unionByName(spark.createDataFrame([(None, refusal)], problems.schema))
+
+
 def marked_duplicates(items: DataFrame, existing: DataFrame) -> DataFrame:
     """Adds duplicate_of: the id of an existing row (id, title) with the same title key."""
     have = existing.groupBy(title_key(F.col("title")).alias("k")).agg(F.min("id").alias("duplicate_of"))
@@ -117,3 +168,9 @@ def marked_duplicates(items: DataFrame, existing: DataFrame) -> DataFrame:
 def export_json(library: DataFrame, path: str) -> None:
     """One JSON object a line, which read_json and Spark's own reader take back."""
     library.write.mode("overwrite").json(path)
+
+
+def export_rows(library: DataFrame, categories: DataFrame) -> DataFrame:
+    """A JSON line for each row, with its category's name in place of the id."""
+    named = library.join(categories.select("category_id", F.col("name").alias("category")), "category_id", "left").drop("category_id")
+    return named.select(F.to_json(F.struct(*sorted(named.columns))).alias("value"))
