@@ -30,12 +30,16 @@ def reason(terms: Column, intent: Column) -> Column:
     """One sentence of at most 160 characters."""
     about = F.when(intent.isNotNull() & (intent != "general"), F.concat(F.lit("about "), F.regexp_replace(intent, "_", " "))).otherwise(F.lit(None))
     shared = F.when(F.size(terms) > 0, F.concat(F.lit("shares "), F.array_join(F.slice(terms, 1, 6), ", ")))
-    return F.substring(F.coalesce(F.concat_ws("; ", about, shared), F.lit("")), 1, 160)
+    whole = F.coalesce(F.concat_ws("; ", about, shared), F.lit(""))
+    return F.when(F.length(whole) <= 160, whole).otherwise(F.regexp_replace(F.substring(whole, 1, 160), r",[^,]*$", ""))
 
 
-def recommend(messages: DataFrame, library: DataFrame, keys: list[str], key: str, n: int = 3, text: str = "text", group: str = "source") -> DataFrame:
-    """keys, key, slot, rank, lexical, combined, confidence, no_match, reason: the n best library rows of each message."""
-    index = lexical.postings(library, key, F.col(text))
+def recommend(messages: DataFrame, library: DataFrame, keys: list[str], key: str, n: int = 3, text: str = "text", group: str = "source", uses: DataFrame | None = None) -> DataFrame:
+    """keys, key, slot, rank, lexical, usage, combined, confidence, no_match, reason: the n best library rows of each message.
+
+    uses (key, use_count) gives the usage signal; without it usage is 0.
+    """
+    index = lexical.kept(lexical.postings(library, key, F.col(text)))
     asked = lexical.query_terms(messages, keys, F.col(text))
     scored = lexical.bm25(index, asked, key, keys)
     best = candidates(scored, keys, key, "bm25")
@@ -43,13 +47,19 @@ def recommend(messages: DataFrame, library: DataFrame, keys: list[str], key: str
     top = F.element_at(classify.intent_scores(F.col(text)), 1)
     asked_for = messages.select(*keys, top.alias("intent"))
     rows = best.join(asked_for, keys).join(library.select(key, group), key)
+    if uses is None:
+        rows = rows.withColumn("usage", F.lit(0.0))
+    else:
+        most = uses.agg(F.max("use_count").alias("most"))
+        rows = rows.join(uses.select(key, "use_count"), key, "left").crossJoin(F.broadcast(most))  # one row
+        rows = rows.withColumn("usage", scoring.usage(F.coalesce("use_count", F.lit(0)), F.coalesce("most", F.lit(0)), F.lit(False)))
     lex = scoring.lexical(F.col("bm25"), F.col("best"))
-    rows = rows.select(*keys, key, group, "intent", lex.alias("lexical"))
-    rows = rows.withColumn("combined", scoring.combined(F.lit(None).cast("double"), F.col("lexical"), F.when(F.col("intent.intent") == "general", 0.0).otherwise(F.col("intent.score")), F.lit(0.0)))
+    rows = rows.select(*keys, key, group, "intent", "usage", lex.alias("lexical"))
+    rows = rows.withColumn("combined", scoring.combined(F.lit(None).cast("double"), F.col("lexical"), F.when(F.col("intent.intent") == "general", 0.0).otherwise(F.col("intent.score")), F.col("usage")))
     rows = rows.withColumn("confidence", scoring.confidence(F.col("combined")))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("combined"), key)).cast("long"))
     slots = diversified(ranked, keys, group, n)
     shared = index.join(asked, "term").join(slots.select(*keys, key), [*keys, key], "left_semi").groupBy(*keys, key).agg(F.array_sort(F.collect_set("term")).alias("terms"))
     out = slots.join(shared, [*keys, key], "left")
     no_match = F.max("confidence").over(Window.partitionBy(*keys)) < scoring.NO_MATCH_BELOW
-    return out.select(*keys, key, "slot", "rank", scoring.rounded(F.col("lexical")).alias("lexical"), scoring.rounded(F.col("combined")).alias("combined"), "confidence", no_match.alias("no_match"), reason(F.coalesce("terms", F.array().cast("array<string>")), F.col("intent.intent")).alias("reason"))
+    return out.select(*keys, key, "slot", "rank", scoring.rounded(F.col("lexical")).alias("lexical"), scoring.rounded(F.col("usage")).alias("usage"), scoring.rounded(F.col("combined")).alias("combined"), "confidence", no_match.alias("no_match"), reason(F.coalesce("terms", F.array().cast("array<string>")), F.col("intent.intent")).alias("reason"))

@@ -106,7 +106,7 @@ def doc_len(spark, d):
 
 
 def _scored(spark, d) -> DataFrame:
-    index = lexical.postings(_t(spark, d, "documents"), "doc_id", F.col("text"))
+    index = lexical.kept(lexical.postings(_t(spark, d, "documents"), "doc_id", F.col("text")))
     asked = lexical.query_terms(_t(spark, d, "conversations").where("role = 'user'"), ["conv_id", "turn"], F.col("text"))
     return lexical.bm25(index, asked, "doc_id", ["conv_id", "turn"])
 
@@ -331,7 +331,7 @@ def vectorize(spark, d):
 @query()
 def recommend(spark, d):
     """The flagship: three documents for each user message by lexical score, intent match and usage, with confidence and reason."""
-    return ranking.recommend(_t(spark, d, "conversations").where("role = 'user'"), _t(spark, d, "documents"), ["conv_id", "turn"], "doc_id")
+    return ranking.recommend(_t(spark, d, "conversations").where("role = 'user'"), _t(spark, d, "documents"), ["conv_id", "turn"], "doc_id", uses=library.use_counts(_t(spark, d, "events"), "user_id", "purchase").withColumnRenamed("user_id", "doc_id"))
 
 
 # further groups of queries register themselves
