@@ -49,9 +49,9 @@ def _fields(df: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
     """RFC 4180 with a header; the delimiter is read off the first line unless given."""
     if delimiter is None:
-        first = F.min_by("value", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
-        head = spark.read.text(path).where(F.trim("value") != "").agg(first.alias("line")).collect()[0]["line"]
-        delimiter = detect_delimiter(head) if head else ","
+        lines = spark.read.text(path).where(F.trim("value") != "").select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+        head = lines.orderBy("file_path", "file_block_start", "at").limit(1).collect()
+        delimiter = detect_delimiter(head[0]["value"]) if head else ","
     return _fields(spark.read.csv(path, header=True, sep=delimiter, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE"))
 
 
@@ -118,9 +118,13 @@ def known_intents(values: Column, intents: dict[str, str]) -> Column:
     from tessella.functions.text import slug as slugged
 
     plain = F.transform(values, lambda x: slugged(x))
-    labels = {k: k for k in intents} | {label: k for k, label in intents.items()}
-    table = F.create_map(*[x for label, k in labels.items() for x in (slugged(F.lit(label)), F.lit(k))])
-    found = F.transform(plain, lambda x: F.try_element_at(table, x))
+    def named(x: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for k, label in intents.items():
+            out = F.when((x == k) | (x == slugged(F.lit(label))), k).otherwise(out)
+        return out
+
+    found = F.transform(plain, named)
     unknown = F.filter(F.transform(values, lambda x, i: F.when(F.get(found, i).isNull(), x)), lambda x: x.isNotNull())
     return F.struct(F.array_distinct(F.array_compact(found)).alias("known"), F.slice(unknown, 1, 5).alias("unknown"))
 
@@ -156,7 +160,7 @@ def parse_import(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame,
     if refusal is None:
         return validated(items)
     good, problems = validated(items.limit(0))
-    return good, problems.unionByName(spark.createDataFrame([(None, refusal)], problems.schema))
+    return good, problems.unionByName(spark.createDataFrame([(None, refusal)], "title string, problem string"))
 
 
 def marked_duplicates(items: DataFrame, existing: DataFrame) -> DataFrame:
