@@ -567,3 +567,34 @@ def test_pipeline_against_brute_force(spark, rows, tmp_path, monkeypatch):
     for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
         got[r["doc_id"]] += r["length"]
     assert dict(got) == want and 3 <= len(want) < len(texts) - 2
+
+
+def test_minhash_large_group(spark):
+    """A large group of near copies, many of them just over or under the threshold to each other, against all pairs."""
+    rng = random.Random(21)
+    base = words(rng, 150).split(" ")
+    texts = []
+    for _ in range(260):
+        w = base[:]
+        for k in rng.sample(range(len(w)), rng.choice((0, 1, 2, 3, 4, 5))):
+            w[k] = "x" + str(rng.randrange(10**6))
+        texts.append(" ".join(w))
+    texts += [words(rng, 120) for _ in range(40)]
+    sets = [shingles(t) for t in texts]
+    least = list(range(len(texts)))
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    under = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                least[b] = a
+            under += 70 * len(sets[i] | sets[j]) <= 100 * both < 75 * len(sets[i] | sets[j])
+    out = {r["doc_id"]: r["component_id"] for r in minhash.op6_minhash_near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert under > 1000 and out == {i: root(i) for i in range(len(texts))}
