@@ -70,12 +70,18 @@ class PieceMachine:
             for c in piece:
                 node = node.setdefault(c, {})
             node[""] = (piece, i)
-        self.stable_pairs: dict[tuple[str, str], bool] = {}
+        #: By piece, whether others can be its next neighbours.
+        self.after: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
         self.words: dict[str, bytes] = {}
 
-    def merge(self, text: str) -> list[str]:
-        """The model's own rule: of all neighbours whose join is a piece, the best-scored, leftmost ones are joined, until none is left."""
-        parts, rank = list(text), self.rank
+    def holds(self, a: str, b: str) -> bool:
+        """Whether merging the text of two pieces by the model's rule gives the two again.
+
+        The rule: of all neighbours whose join is a piece, the best-scored, leftmost ones are joined, until none is left. A join
+        across the border of the two decides it at once.
+        """
+        parts, left, rank = [*a, *b], len(a), self.rank
         while True:
             best, at = None, -1
             for i in range(len(parts) - 1):
@@ -83,17 +89,19 @@ class PieceMachine:
                 if r is not None and (best is None or r > best):
                     best, at = r, i
             if at < 0:
-                return parts
+                return parts == ([a, b] if a else [b])
+            if a and at == left - 1:
+                return False
+            left -= at < left
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def stable(self, a: str, b: str) -> bool:
-        """Whether merging the text of two pieces gives the two again; a first piece has "" before it."""
-        key = (a, b)
-        known = self.stable_pairs.get(key)
-        if known is None:
-            if len(self.stable_pairs) > 2 * CACHE_WORDS:
-                self.stable_pairs.clear()
-            known = self.stable_pairs[key] = self.merge(a + b) == ([a, b] if a else [b])
+        """Whether two pieces can be neighbours; a first piece has "" before it. Compiled when first asked for."""
+        if self.n_pairs > 2 * CACHE_WORDS:
+            self.after.clear()
+            self.n_pairs = 0
+        self.n_pairs += 1
+        known = self.after.setdefault(a, {})[b] = self.holds(a, b)
         return known
 
     def shortest(self, text: str) -> list[int]:
@@ -102,7 +110,7 @@ class PieceMachine:
         reached[place] has, for each remembered piece ("" after byte fallback, and at the start), the least weight and the arc
         that gave it: place and piece before, ids written.
         """
-        n, trie, known, stable = len(text), self.trie, self.stable_pairs, self.stable
+        n, trie = len(text), self.trie
         reached: list[dict[str, tuple]] = [{} for _ in range(n + 1)]
         reached[0][""] = (0, 0, "", ())
         for at in range(n):
@@ -114,24 +122,19 @@ class PieceMachine:
                 last = min(here, key=lambda x: here[x][0])
                 reached[at + 1][""] = (here[last][0] + len(written), at, last, written)
                 continue
-            node = trie
-            for j in range(at, n):
-                node = node.get(text[j])
-                if node is None:
-                    break
-                if "" not in node:
-                    continue
-                piece, i = node[""]
-                best, least = None, 1 << 62
-                for last, way in here.items():
-                    if way[0] < least:
-                        fits = known.get((last, piece))
-                        if fits or (fits is None and stable(last, piece)):
-                            best, least = last, way[0]
-                if best is not None:
-                    old = reached[j + 1].get(piece)
-                    if old is None or least + 1 < old[0]:
-                        reached[j + 1][piece] = (least + 1, at, best, (i,))
+            for last, way in here.items():
+                sum_, node, known = way[0] + 1, trie, self.after.get(last, {})
+                for j in range(at, n):
+                    node = node.get(text[j])
+                    if node is None:
+                        break
+                    if "" in node:
+                        piece, i = node[""]
+                        fits = known.get(piece)
+                        if fits or (fits is None and self.stable(last, piece)):
+                            old = reached[j + 1].get(piece)
+                            if old is None or sum_ < old[0]:
+                                reached[j + 1][piece] = (sum_, at, last, (i,))
         if not reached[n]:
             raise ValueError("no path through the machines")
         at, piece, out = n, min(reached[n], key=lambda x: reached[n][x][0]), []
