@@ -339,3 +339,4 @@ from tessella.plans import catalogue as _catalogue  # noqa: E402, F401
 from tessella.plans import messages as _message_queries  # noqa: E402, F401
 from tessella.plans import concepts as _concept_queries  # noqa: E402, F401
 from tessella.plans import replies as _reply_queries  # noqa: E402, F401
+from tessella.plans import texts as _text_queries  # noqa: E402, F401
