@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import embedding_dedup, fingerprint, language_id, line_dedup, minhash, packing, quality, sentencepiece_fst, suffix_dedup, warc
+from tessella.llm import divergence, embedding_dedup, fingerprint, language_id, line_dedup, merkle, minhash, packing, quality, sentencepiece_fst, suffix_dedup, toxicity, warc
 from tessella.llm.common import table
 
 
@@ -25,8 +25,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": over("documents", quality.op8_quality),
         "op9_warc": over("pages", warc.op9_warc),
         "op10_line_dedup": over("documents", line_dedup.op10_line_dedup),
+        "op11_source_divergence": over("documents", divergence.op11_source_divergence),
+        "op12_toxicity": lambda spark, sf_dir: toxicity.op12_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+        "op13_merkle": over("documents", merkle.op13_merkle),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_source_divergence": divergence.ORACLE_SQL, "op13_merkle": merkle.ORACLE_SQL}
