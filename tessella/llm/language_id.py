@@ -2,7 +2,8 @@
 
 Counting and scoring run in Arrow batches: the code points of a chunk of texts become one array, an n-gram is a mix of
 neighbouring code points, and its hash picks a row of the log-probability matrix. The matrix has 2**bits rows and one
-column a language, whatever the corpus size, so it can be broadcast.
+column a language, whatever the corpus size, so it can be broadcast; more than LANGUAGES languages are dealt to several matrices, each of which scores all
+texts, and the best of a text's results is taken.
 
 Cases: null text or text without a letter gives `und` with score 1.0; ties go to the language that sorts first; repeated rows
 are predicted alike, and count once in training; an empty table gives an empty result; with no labelled row at all every text is `und`, one with a
@@ -21,15 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import map_arrow, text_chunks, unpacked
+from tessella.llm.common import map_arrow, materialise, text_chunks, unpacked
 
 ORDERS = (2, 3)
 BITS = 16
 ALPHA = 0.1
 #: Bound on the documents that the matrix is fitted on: all eligible ones up to it, else a sample by hash of text and language, each kept once.
 TRAIN_DOCS = 8_000
-#: Bound on the languages that are learned, the most frequent ones of the sample: 256 make a matrix of 64 MB.
-MAX_LANGUAGES = 256
+#: Languages of one matrix: 256 make 64 MB.
+LANGUAGES = 256
 UND = "und"
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint64)
 
@@ -94,40 +95,41 @@ def _counts(batch: pa.RecordBatch, orders: tuple[int, ...], bits: int) -> pa.Tab
     })
 
 
-def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, orders: tuple[int, ...] = ORDERS, bits: int = BITS, alpha: float = ALPHA, max_languages: int = MAX_LANGUAGES) -> LanguageModel:
-    """Fits the model on (text, lang) rows with text and lang; on at most about train_docs distinct ones, whatever is repeated.
+def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, orders: tuple[int, ...] = ORDERS, bits: int = BITS, alpha: float = ALPHA, languages: int = LANGUAGES) -> list[LanguageModel]:
+    """Fits the model on (text, lang) rows with text and lang; on at most about train_docs distinct ones, whatever is repeated. A part for each so many languages.
 
-    What reaches the driver is the count matrix: at most 2**bits rows a language.
+    What reaches the driver at once is the count matrix of a part: at most 2**bits rows a language.
     """
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
     n = rows.count()
     if n > train_docs:
         rows = rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_003)) < int(1_000_003 * train_docs / n))
     rows = rows.distinct()
-    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
-    prior = {r["lang"]: r["n"] for r in most.collect()}
-    languages = tuple(sorted(prior))
-    if len(languages) == max_languages:
-        rows = rows.where(F.col("lang").isin(list(languages)))
-    counts = map_arrow(rows.select("text", "lang"), lambda b: _counts(b, orders, bits), "lang string, bucket int, n long")
-    counts = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    matrix = np.full((1 << bits, max(1, len(languages))), alpha)
-    for k, lang in enumerate(languages):
-        own = counts[counts["lang"] == lang]
-        matrix[own["bucket"].to_numpy(), k] += own["n"].to_numpy()
-    log_prob = np.log(matrix) - np.log(matrix.sum(axis=0))
-    total = sum(prior.values())
-    log_prior = np.array([np.log(prior[x] / total) for x in languages] or [0.0])
-    return LanguageModel(languages, log_prob.astype(np.float32), log_prior, orders, bits)
-
-
-def _score(texts: pa.Array, model: LanguageModel) -> tuple[list[str], np.ndarray]:
-    """Language and posterior probability of each text."""
+    prior = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language of the bounded sample
+    names, total = sorted(prior), sum(prior.values())
+    parts = [tuple(names[k : k + languages]) for k in range(0, len(names), languages)] or [()]
+    counts = map_arrow(rows.select("text", "lang"), lambda b: _counts(b, orders, bits), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = counts if len(parts) == 1 else materialise(counts, "grams")
+    out = []
+    for own in parts:
+        found = (counts if len(parts) == 1 else counts.where(F.col("lang").isin(list(own)))).toPandas()
+        matrix = np.full((1 << bits, max(1, len(own))), alpha)
+        for k, lang in enumerate(own):
+            grams = found[found["lang"] == lang]
+            matrix[grams["bucket"].to_numpy(), k] += grams["n"].to_numpy()
+        log_prob = np.log(matrix) - np.log(matrix.sum(axis=0))
+        log_prior = np.array([np.log(prior[x] / total) for x in own] or [0.0])
+        out.append(LanguageModel(own, log_prob.astype(np.float32), log_prior, orders, bits))
+    return out
+
+
+def _score(texts: pa.Array, model: LanguageModel) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language and posterior probability of each text, and the logarithm of the evidence that these are out of."""
     n = len(texts)
-    pred, score = [UND] * n, np.ones(n)
+    pred, score, evidence = [UND] * n, np.ones(n), np.zeros(n)
     has_letter = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
     if not model.languages:
-        return pred, np.where(has_letter, 0.0, 1.0)
+        return pred, np.where(has_letter, 0.0, 1.0), evidence
     width = len(model.languages)
     for first, end, data, offsets in text_chunks(texts):
         points, at = _code_points(data, offsets)
@@ -144,23 +146,45 @@ def _score(texts: pa.Array, model: LanguageModel) -> tuple[list[str], np.ndarray
                 total[full, k] += np.add.reduceat(column, cuts)[::2]
         best = total.argmax(axis=1)
         top = total[np.arange(len(best)), best]
-        post = 1 / np.exp(total - top[:, None]).sum(axis=1)
+        share = np.exp(total - top[:, None]).sum(axis=1)
+        post, evidence[first:end] = 1 / share, top + np.log(share)
         for i in range(end - first):
             if has_letter[first + i]:
                 pred[first + i], score[first + i] = model.languages[best[i]], post[i]
-    return pred, score
+    return pred, score, evidence
 
 
-def predict(docs: DataFrame, model: LanguageModel, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Adds the predicted language and its posterior probability; only the text column is read for it."""
-    model_b = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([f for f in docs.schema if f.name not in (pred, score)]).add(pred, "string").add(score, "double")
-    text_at = docs.columns.index(text)
-    keep = [i for i, c in enumerate(docs.columns) if c not in (pred, score)]
+def predict(docs: DataFrame, models: list[LanguageModel], text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Adds the predicted language and its posterior probability; only the text column is read for it.
+
+    The parts of a model score one after the other, each adding to what those before it have found.
+    """
+    columns = [c for c in docs.columns if c not in (pred, score)]
+    out = docs.select(*[F.col(f"`{c}`") for c in columns])
+    for k, model in enumerate(models):
+        out = _predicted(out, docs.sparkSession.sparkContext.broadcast(model), text, pred, score, k > 0)
+    return out.select(*[F.col(f"`{c}`") for c in columns], pred, score)
+
+
+def _predicted(docs: DataFrame, model_b, text: str, pred: str, score: str, more: bool) -> DataFrame:
+    own = [pred, score, "_evidence"]
+    columns = [c for c in docs.columns if c not in own] if more else docs.columns
+    schema = T.StructType([f for f in docs.schema if f.name in columns])
+    schema = T.StructType(schema.fields).add(pred, "string").add(score, "double").add("_evidence", "double")
+    keep, text_at = [docs.columns.index(c) for c in columns], docs.columns.index(text)
+    before = [docs.columns.index(c) for c in own] if more else []
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lang, p = _score(batch.column(text_at), model_b.value)
-        columns = [batch.column(i) for i in keep] + [pa.array(lang, pa.string()), pa.array(p, pa.float64())]
+        lang, p, e = _score(batch.column(text_at), model_b.value)
+        if before:
+            old, old_p, old_e = (batch.column(i) for i in before)
+            old_p, old_e = np.asarray(old_p), np.asarray(old_e)
+            known = np.array([x != UND for x in lang])
+            both = np.where(known, np.logaddexp(e, old_e), e)
+            new_p, old_p = np.where(known, p * np.exp(e - both), p), np.where(known, old_p * np.exp(old_e - both), old_p)
+            later = known & (new_p > old_p)  # on a tie the language that sorts first stays
+            lang, p, e = [n if up else o for n, o, up in zip(lang, old.to_pylist(), later, strict=True)], np.where(later, new_p, old_p), both
+        columns = [batch.column(i) for i in keep] + [pa.array(lang, pa.string()), pa.array(p, pa.float64()), pa.array(e, pa.float64())]
         return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return map_arrow(docs, f, schema)
