@@ -149,3 +149,33 @@ def slug(text: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(text), "ß", "ss"), "æ", "ae"), "œ", "oe")
     plain = F.translate(plain, "àáâãäåāăąçćčďđèéêëēęěğìíîïīıłñńňòóôõöøōőřśşšţťùúûüūůűýÿźżž", "aaaaaaaaacccddeeeeeeegiiiiiilnnnoooooooorsssttuuuuuuuyyzzz")
     return F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
+def noise_word(token: str) -> bool:
+    """is_noise for tasks that hold tokens as Python strings."""
+    digits = [c for c in token if "0" <= c <= "9"]
+    plain = all("0" <= c <= "9" or "a" <= c <= "z" for c in token)
+    return len(token) < 2 or len(token) > MAX_TOKEN or token in STOPWORDS or len(digits) == len(token) or (len(token) >= 16 and plain and bool(digits))
+
+
+def stem_word(token: str) -> str:
+    """stem for tasks that hold tokens as Python strings."""
+    n = len(token)
+    if n <= 3 or any("0" <= c <= "9" for c in token):
+        return token
+    voiced = lambda s: any(c in "aeiouy" for c in s)
+    single = lambda s: s[:-1] if len(s) >= 3 and s[-1] == s[-2] and s[-2:] not in ("ll", "ss", "zz", "ff") and s[-1] not in "aeiouy" else s
+    s = token
+    if token.endswith(("ies", "ied")) and n >= 5:
+        s = token[:-3] + "y"
+    elif token.endswith("ing") and n >= 6:
+        s = single(token[:-3]) if voiced(token[:-3]) else token
+    elif token.endswith("ed") and token[-3] != "e" and n >= 5:
+        s = single(token[:-2]) if voiced(token[:-2]) else token
+    elif token.endswith("ly") and n >= 6:
+        s = token[:-2]
+    elif token.endswith(("ses", "xes", "zes", "ches", "shes")) and n >= 5:
+        s = token[:-2]
+    elif token.endswith("s") and not token.endswith(("ss", "us", "is")) and n >= 4:
+        s = token[:-1]
+    return s[:-1] if len(s) >= 5 and s.endswith("e") and not s.endswith("ee") else s

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import scoring, text
-from tessella.operators import entities, lexical, library, ranking, vectors
+from tessella.operators import entities, lexical, library, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -328,15 +328,10 @@ def vectorize(spark, d):
     return v.groupBy("doc_id").agg(F.count("*").alias("n_buckets"), _r(F.sum(F.col("w") * F.col("w")), 6).alias("norm"))
 
 
-@query()
-def recommend(spark, d):
-    """The flagship: three documents for each user message by lexical score, intent match and usage, with confidence and reason."""
-    return ranking.recommend(_t(spark, d, "conversations").where("role = 'user'"), _t(spark, d, "documents"), ["conv_id", "turn"], "doc_id", uses=library.use_counts(_t(spark, d, "events"), "user_id", "purchase").withColumnRenamed("user_id", "doc_id"))
-
-
 # further groups of queries register themselves
 from tessella.plans import catalogue as _catalogue  # noqa: E402, F401
 from tessella.plans import messages as _message_queries  # noqa: E402, F401
 from tessella.plans import concepts as _concept_queries  # noqa: E402, F401
 from tessella.plans import replies as _reply_queries  # noqa: E402, F401
 from tessella.plans import texts as _text_queries  # noqa: E402, F401
+from tessella.plans import ranking as _ranking_queries  # noqa: E402, F401

@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def plain(value):
-    if value is None or value != value or str(value) in ("NaT", "<NA>"):
+    if value is None or str(value) in ("NaT", "<NA>") or value != value:
         return "~"
     if isinstance(value, bool) or type(value).__name__ == "bool_":
         return str(bool(value))
