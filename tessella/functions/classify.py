@@ -57,8 +57,8 @@ def urgency(text: Column, amount: Column, wait_hours: Column) -> Column:
     return F.when(F.size(phrases(text, CRITICAL)) > 0, "critical").when(high, "high").when(sentiment(text) == "positive", "low").otherwise("normal")
 
 
-def intent_scores(text: Column) -> Column:
-    """Array of (intent, score): 1 - e^(-evidence / 2.2), from 0.15 on, best first; `general` at 0.3 where there is none."""
+def intent_scores(text: Column, norm: Column | None = None) -> Column:
+    """Array of (intent, score): 1 - e^(-evidence / 2.2), from 0.15 on, best first; `general` at 0.3 where there is none. norm: the text, normalised, where the caller has it."""
 
     def scored(norm: Column) -> Column:
         found = []
@@ -70,5 +70,5 @@ def intent_scores(text: Column) -> Column:
 
     general = F.array(F.struct(F.lit("general").alias("intent"), F.lit(0.3).alias("score")))
     named = lambda best: F.transform(best, lambda x: F.struct(x["intent"].alias("intent"), x["score"].alias("score")))
-    best = let(F.coalesce(normalised(text), F.lit("")), scored)
+    best = let(F.coalesce(normalised(text) if norm is None else norm, F.lit("")), scored)
     return let(best, lambda b: F.when(F.size(b) > 0, named(b)).otherwise(general))

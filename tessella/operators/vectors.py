@@ -9,22 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators.lexical import term_rows, trigrams
-
-DIM = 768
-TRIGRAM_WEIGHT = 0.25
-
-
-def hashed_features(df: DataFrame, key: str, text: Column, dim: int = DIM, grams: bool = True) -> DataFrame:
-    """Sparse unit vectors (key, bucket, w): stems at 1 + ln(count), and boundary-padded trigrams of each stem at TRIGRAM_WEIGHT, signed by a bit of the hash."""
-    tf = term_rows(df, key, text).groupBy(key, "term").agg(F.count("*").alias("n"))
-    word = F.array(F.struct(F.xxhash64("term").alias("h"), (1 + F.log(F.col("n").cast("double"))).alias("w")))
-    parts = F.transform(trigrams(F.col("term")), lambda g: F.struct(F.xxhash64(F.lit("#"), g).alias("h"), F.lit(TRIGRAM_WEIGHT).alias("w")))
-    each = tf.select(key, F.inline(F.concat(word, parts) if grams else word))
-    signed = F.when(F.col("h").bitwiseAND(1) == 1, 1.0).otherwise(-1.0) * F.col("w")
-    buckets = each.groupBy(key, F.pmod(F.shiftright("h", 1), F.lit(dim)).alias("bucket")).agg(F.sum(signed).alias("w"))
-    norm = buckets.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return buckets.join(norm, key).where("norm > 0").select(key, "bucket", (F.col("w") / F.col("norm")).alias("w"))
+from tessella.operators.features import featured
+
+
+def hashed_features(df: DataFrame, key: str, text: Column) -> DataFrame:
+    """Sparse unit vectors (key, bucket, w) of texts: the non-zero places of the vectors that the ranker compares."""
+    made = featured(df, [key], {"text": text}).select(key, "text_vector")
+    length = F.sqrt(F.aggregate("text_vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    places = F.filter(F.transform("text_vector", lambda x, i: F.struct(i.cast("long").alias("bucket"), x.alias("x"))), lambda p: p["x"] != 0)
+    return made.select(key, length.alias("_length"), F.inline(places)).select(key, "bucket", (F.col("x") / F.col("_length")).alias("w"))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import scoring, text
-from tessella.operators import entities, lexical, library, vectors
+from tessella.operators import entities, lexical, library, ranker, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -90,7 +90,7 @@ def tokenize_terms(spark, d):
 @query(f"WITH {_TERMS} SELECT term, count(*) AS n FROM terms GROUP BY term")
 def stem_terms(spark, d):
     """Occurrences of each stem."""
-    return lexical.term_rows(_t(spark, d, "documents"), "doc_id", F.col("text")).groupBy("term").agg(F.count("*").alias("n"))
+    return lexical.postings(_t(spark, d, "documents"), "doc_id", F.col("text")).groupBy("term").agg(F.sum("tf").alias("n"))
 
 
 @query(f"WITH {_TF} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term")
@@ -105,35 +105,44 @@ def doc_len(spark, d):
     return lexical.postings(_t(spark, d, "documents"), "doc_id", F.col("text")).groupBy("doc_id", "dl").agg(F.count("*").alias("n_terms"))
 
 
-def _scored(spark, d) -> DataFrame:
-    index = lexical.kept(lexical.postings(_t(spark, d, "documents"), "doc_id", F.col("text")))
-    asked = lexical.query_terms(_t(spark, d, "conversations").where("role = 'user'"), ["conv_id", "turn"], F.col("text"))
-    return lexical.bm25(index, asked, "doc_id", ["conv_id", "turn"])
+def _lexical_top(spark, d, most: int) -> DataFrame:
+    return ranker.lexical_top(_t(spark, d, "conversations").where("role = 'user'"), _t(spark, d, "documents"), ["conv_id", "turn"], "doc_id", most)
 
 
 @query(f"WITH {_BM25}, r AS (SELECT conv_id, turn, doc_id, {_rs('bm25')} AS bm25 FROM scored) SELECT conv_id, turn, doc_id, bm25, rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY bm25 DESC, doc_id) AS rank FROM r) WHERE rank <= 3")
 def bm25_top3(spark, d):
     """The three best documents of each user message by BM25+."""
-    scored = _scored(spark, d).withColumn("bm25", _r("bm25"))
-    return lexical.top_k(scored, ["conv_id", "turn"], [F.desc("bm25"), F.asc("doc_id")], 3).select("conv_id", "turn", "doc_id", "bm25", "rank")
+    return _lexical_top(spark, d, 3).select("conv_id", "turn", "doc_id", _r("bm25").alias("bm25"), "rank")
 
 
 @query(f"WITH {_BM25}, m AS (SELECT conv_id, turn, max(bm25) AS best FROM scored GROUP BY ALL) SELECT conv_id, turn, {_rs('best')} AS best, {_rs('1 - exp(-best / 60.0)')} AS saturation FROM m")
 def lexical_saturated(spark, d):
     """Best BM25+ of each message and how far it counts."""
-    best = _scored(spark, d).groupBy("conv_id", "turn").agg(F.max("bm25").alias("best"))
+    best = _lexical_top(spark, d, 1).withColumnRenamed("bm25", "best")
     return best.select("conv_id", "turn", _r("best").alias("best"), _r(scoring.lexical(F.col("best"), F.col("best"))).alias("saturation"))
 
 
-@query(f"""WITH w AS (SELECT DISTINCT token AS term FROM (SELECT unnest({_tokens_sql('text')}) AS token FROM documents) WHERE NOT {_NOISE} AND regexp_matches(token, '^[a-z]+$') AND length(token) >= 5),
-b AS (SELECT DISTINCT token AS term FROM (SELECT unnest({_tokens_sql('text')}) AS token FROM benchmark) WHERE NOT {_NOISE} AND regexp_matches(token, '^[a-z]+$') AND length(token) >= 5)
-SELECT b.term AS a, w.term AS b FROM b JOIN w ON left(b.term, 1) = left(w.term, 1) AND abs(length(b.term) - length(w.term)) <= 1 AND b.term <> w.term AND levenshtein(b.term, w.term) <= 1""")
+# DuckDB counts edits of bytes, so each letter beyond ASCII stands as a capital, which no token has
+_ONE_BYTE = "translate(term, 'ßáäçèéêíñóöúü', 'ABCDEFGHIJKLM')"
+
+
+@query(f"""WITH w AS (SELECT term, {_ONE_BYTE} AS t FROM (SELECT DISTINCT token AS term FROM (SELECT unnest({_tokens_sql('text')}) AS token FROM documents) WHERE NOT {_NOISE} AND length(token) >= 5)),
+b AS (SELECT term, {_ONE_BYTE} AS t FROM (SELECT DISTINCT token AS term FROM (SELECT unnest({_tokens_sql('text')}) AS token FROM benchmark) WHERE NOT {_NOISE} AND length(token) >= 5))
+SELECT b.term AS a, w.term AS b FROM b JOIN w ON left(b.t, 1) = left(w.t, 1) AND abs(length(b.t) - length(w.t)) <= 1 AND b.t <> w.t AND levenshtein(b.t, w.t) <= 1""")
 def fuzzy_terms(spark, d):
     """Terms of the benchmark and of documents within one edit."""
-    words = lambda t: _t(spark, d, t).select(F.explode(text.tokens(F.col("text"))).alias("token")).where(~text.is_noise(F.col("token")) & F.col("token").rlike("^[a-z]+$")).select(F.col("token").alias("term")).distinct()
+    words = lambda t: _t(spark, d, t).select(F.explode(text.tokens(F.col("text"))).alias("token")).where(~text.is_noise(F.col("token"))).select(F.col("token").alias("term")).distinct()
     return lexical.fuzzy_terms(words("benchmark"), words("documents"))
 
 
+@query()
+def term_reach(spark, d):
+    """What every stem of the benchmark reaches among the stems of the documents: itself, longer terms, and terms within two edits, with weights."""
+    stems = lambda t, key: lexical.postings(_t(spark, d, t), key, F.col("text")).select("term").distinct()
+    asked = stems("benchmark", "item_id").select(F.col("term").alias("asked"), "term", F.lit(1.0).alias("weight"))
+    return lexical.reach(asked, stems("documents", "doc_id"), ["asked"]).select("asked", "term", _r("weight").alias("weight"))
+
+
 @query("""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q.vec_id, e.vec_id AS other, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) * list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) AS c FROM q JOIN embeddings e ON e.vec_id <> q.vec_id)
 SELECT vec_id, other, floor(c * 10000.0 + 0.5) / 10000.0 AS cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, other) AS rank FROM s) WHERE rank <= 10""")
 def cosine_top10(spark, d):
@@ -321,13 +330,6 @@ def grounding(spark, d):
     return entities.ungrounded(docs, docs.select((F.col("doc_id") + 1).alias("doc_id"), "text"), "doc_id")
 
 
-@query()
-def vectorize(spark, d):
-    """Sparse hashed vectors of documents: buckets and norm."""
-    v = vectors.hashed_features(_t(spark, d, "documents"), "doc_id", F.col("text"))
-    return v.groupBy("doc_id").agg(F.count("*").alias("n_buckets"), _r(F.sum(F.col("w") * F.col("w")), 6).alias("norm"))
-
-
 # further groups of queries register themselves
 from tessella.plans import catalogue as _catalogue  # noqa: E402, F401
 from tessella.plans import messages as _message_queries  # noqa: E402, F401
