@@ -10,7 +10,7 @@ larger: each attempt has its own hash, and twice the cells up to the largest siz
 the digests can be got back from it alone.
 
 Two fingerprints subtract cell by cell, so what the versions share cancels out, and peeling what is left recovers the
-digests that differ; likeness is shared / all digests. A fingerprint of another power, or a part of another attempt, is drawn again from its
+digests that differ; likeness is shared / all digests. Of a fingerprint of another power, or a part of another attempt, the smaller one is drawn again from its
 digests like the one it is held against; where what is left doesn't peel, both parts are drawn larger, until it does. As the digests of a
 fingerprint can be got back from it, likeness is a function of the two fingerprints.
 
@@ -29,9 +29,9 @@ from tessella.llm.common import materialise, tasks_of, with_rows
 ROWS_OF_CELLS = 3
 #: Cells of a row at the first attempt; twice as many at each further one, up to 16 times.
 CELLS, DOUBLINGS = 8, 4
-#: Attempts at most; the last ones are never needed, as each has its own hash.
+#: Attempts at most; the last ones are never needed, as each has its own hash. A part that peels at none of them is an error.
 ATTEMPTS = 64
-CHECK_BITS, NAME_BITS = 24, 19
+CHECK_BITS, NAME_BITS = 24, 30
 #: Digests that a part of a fingerprint should hold.
 LOAD = 8
 PARAGRAPH = r"\n+|(?<=[.!?|])\s+"
@@ -137,8 +137,13 @@ def dealt(ds: Column, power: Column) -> Column:
     return F.when(power == 0, F.array(ds)).otherwise(let(widths, run))
 
 
+def _sure(found: Column, value: Column) -> Column:
+    """The value, where something was found."""
+    return F.when(found, value).otherwise(F.raise_error(F.lit(f"a part doesn't peel in {ATTEMPTS} attempts")).cast("int"))
+
+
 def _part(ds: Column) -> Column:
-    """A part of a fingerprint, drawn larger until it peels: attempt, cells."""
+    """A part of a fingerprint, drawn larger until it peels: attempt, cells, and the digests in it."""
 
     def step(state: Column, _: Column) -> Column:
         def tried(cells: Column) -> Column:
@@ -148,7 +153,12 @@ def _part(ds: Column) -> Column:
         return F.when(state["ok"], state).otherwise(let(drawn(ds, state["attempt"]), tried))
 
     begin = F.struct(F.lit(False).alias("ok"), F.lit(0).alias("attempt"), F.array().cast("array<bigint>").alias("cells"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ATTEMPTS)), begin, step, lambda s: F.struct(s["attempt"].alias("attempt"), s["cells"].alias("cells")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ATTEMPTS)), begin, step, lambda s: F.struct(_sure(s["ok"], s["attempt"]).alias("attempt"), s["cells"].alias("cells"), ds.alias("ds")))
+
+
+def _undrawn(ds: Column) -> Column:
+    """A part of digests that has no cells yet."""
+    return F.struct(F.lit(0).alias("attempt"), F.lit(None).cast("array<bigint>").alias("cells"), ds.alias("ds"))
 
 
 def fitting_power(ds: Column) -> Column:
@@ -157,34 +167,35 @@ def fitting_power(ds: Column) -> Column:
 
 
 def fingerprint(ds: Column) -> Column:
-    """The sketch of some digests: an array of parts (attempt, cells), each of which peels."""
+    """The sketch of some digests: an array of parts (attempt, cells, ds), each of which peels."""
     return F.transform(dealt(ds, fitting_power(ds)), _part)
 
 
-def _differing(x: Column, dy: Column) -> Column:
-    """How many digests differ between a part (attempt, cells, ds) and the digests of another."""
+def _differing(x: Column, y: Column) -> Column:
+    """How many digests differ between two parts (attempt, cells, ds); what is drawn already is not drawn again."""
 
     def step(state: Column, _: Column) -> Column:
-        own = F.when((x["attempt"] == state["attempt"]) & x["cells"].isNotNull(), x["cells"]).otherwise(drawn(x["ds"], state["attempt"]))
-        less = F.zip_with(own, drawn(dy, state["attempt"]), lambda u, v: u.bitwiseXOR(v))
-        return F.when(state["d"] >= 0, state).otherwise(F.struct(let(less, lambda c: peel(c, state["attempt"])).alias("d"), (state["attempt"] + 1).alias("attempt")))
+        def tried(_: Column) -> Column:
+            at = lambda p: F.when((p["attempt"] == state["attempt"]) & p["cells"].isNotNull(), p["cells"]).otherwise(drawn(p["ds"], state["attempt"]))
+            less = F.zip_with(at(x), at(y), lambda u, v: u.bitwiseXOR(v))
+            return F.struct(let(less, lambda c: peel(c, state["attempt"])).alias("d"), (state["attempt"] + 1).alias("attempt"))
+
+        return F.when(state["d"] >= 0, state).otherwise(let(F.lit(0), tried))
 
-    begin = F.struct(F.lit(-1).alias("d"), x["attempt"].alias("attempt"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ATTEMPTS)), begin, step, lambda s: s["d"])
+    begin = F.struct(F.lit(-1).alias("d"), F.greatest(x["attempt"], y["attempt"]).alias("attempt"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ATTEMPTS)), begin, step, lambda s: _sure(s["d"] >= 0, s["d"]))
 
 
-def likeness(x: Column, dx: Column, dy: Column) -> Column:
-    """Shared / all digests of a fingerprint that peels to the digests dx, and that of the digests dy."""
+def likeness(x: Column, dx: Column, y: Column | None, dy: Column) -> Column:
+    """Shared / all digests of two fingerprints that peel to the digests dx and dy; the second may be left to be drawn."""
     power = F.greatest(fitting_power(dx), fitting_power(dy))
-    part = lambda p, g: F.struct(F.coalesce(p["attempt"], F.lit(0)).alias("attempt"), p["cells"].alias("cells"), g.alias("ds"))
 
     def over(w: Column) -> Column:
-        own = F.zip_with(F.when(F.size(x) == F.size(w["gx"]), x).otherwise(F.slice(x, 1, 0)), w["gx"], part)  # no cells where the power differs
-        return F.aggregate(F.zip_with(own, w["gy"], _differing), F.lit(0), lambda s, one: s + one)
+        side = lambda made, ds: F.transform(dealt(ds, w), _undrawn) if made is None else F.when(F.size(made) == F.call_function("shiftleft", F.lit(1), w), made).otherwise(F.transform(dealt(ds, w), _undrawn))
+        return F.aggregate(F.zip_with(side(x, dx), side(y, dy), _differing), F.lit(0), lambda s, one: s + one)
 
-    d = let(F.struct(dealt(dx, power).alias("gx"), dealt(dy, power).alias("gy")), over)
     total = F.size(dx) + F.size(dy)
-    return F.when(total == 0, 1.0).otherwise(let(d, lambda k: (total - k) / (total + k)))
+    return F.when(total == 0, 1.0).otherwise(let(let(power, over), lambda k: (total - k) / (total + k)))
 
 
 def as_text(made: Column) -> Column:
@@ -225,5 +236,5 @@ def op5_fingerprints(docs: DataFrame) -> DataFrame:
 
     # step by step, as the analyser resolves nested functions level by level
     both = both.select("*", fingerprint(F.col("d")).alias("f"), fingerprint(F.col("ed")).alias("ef"))
-    both = both.select("*", *[likeness(F.col("f"), F.col("d"), F.col(ds)).alias(name) for name, ds in (("near_edited", "ed"), ("near_next", "nd"))])
+    both = both.select("*", *[likeness(F.col("f"), F.col("d"), y, F.col(ds)).alias(name) for name, y, ds in (("near_edited", F.col("ef"), "ed"), ("near_next", None, "nd"))])
     return both.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("f")).alias("fingerprint"), as_text(F.col("ef")).alias("edited_fingerprint"), "near_edited", "near_next", "next_id")
