@@ -8,16 +8,18 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessella.functions.text import is_noise, let, normalised, stem, tokens
+from tessella.functions.text import let, normalised, tokens
 
-#: Words of each product, of each money flow, and of topics that are in nearly every message (our own lists).
+#: Words of each product and of each money flow (our own lists).
 PRODUCTS = {"sports": ("bet", "bets", "sportsbook", "odds", "parlay"), "casino": ("casino", "slot", "slots", "roulette", "blackjack"), "poker": ("poker", "tournament")}
 FLOWS = {"deposit": ("deposit", "deposits", "deposited", "top up"), "withdrawal": ("withdrawal", "withdrawals", "withdraw", "payout", "cashout")}
-GENERIC = tuple("anyone anything ask check come everything find get give going good great happen help keep know let long look make need nothing please problem put really say see something start sure take tell thing think time today try use want work yesterday".split())
-SUFFIXES = ("s", "es", "d", "ed", "ing")
-ARRIVED = r"\b(arrived|came through|went through|credited now|showed up|landed|cleared|received (it|my|the)|got (it|my|the))\b"
-DOUBT = r"\b(not|no|never|nothing|still|yet|cant|cannot|didnt|hasnt|havent|isnt|wont|where|when|why|how|if|only|missing|lost|pending|stuck|rejected|denied)\b"
-ASKS = r"^\s*(has|have|did|does|do|is|was|will|would|should|can|could)\b"
+#: Evidence that money is there, and against it; a clause is weighed by the words and phrases of both lists that it holds.
+THERE = ("arrived", "received", "credited", "cleared", "landed", "came through", "went through", "showed up", "got it", "got my", "reached me", "paid out")
+AGAINST = ("not", "cant", "didnt", "hasnt", "havent", "isnt", "wont", "cannot", "never", "nothing", "still", "yet", "missing", "pending", "stuck", "waiting", "rejected", "denied", "lost", "if", "where", "when", "why", "how")
+#: Verbs that make a question of a clause that they begin.
+AUXILIARY = ("is", "was", "has", "have", "did", "does", "do", "will", "would", "should", "can", "could")
+FOR_IT, AGAINST_IT = 2, 9
+CONTRAST = r"(?i)\s(?:but|however|though)\s"
 WAITING = r"wait|pending|still|nothing|since"
 ENGLISH = tuple("the and is to my i you it not for have of in on was with this that how what can please".split())
 ACRONYMS = ("btc", "eth", "usdt", "kyc", "vip", "id", "faq")
@@ -28,16 +30,27 @@ def _any(words: tuple[str, ...]) -> str:
 
 
 def clauses(text: Column) -> Column:
-    """Clauses of a text, as structs (text, question): cut at sentence marks, commas, new lines and `but`."""
-    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^.!?;,\n]+[.!?;,\n]*"), F.lit(0))
-    split = F.transform(parts, lambda p: F.transform(F.split(p, r"(?i)\s+(but|however|though)\s+"), lambda x: F.struct(F.trim(F.regexp_replace(x, r"[.!?;,\n]+$", "")).alias("text"), F.contains(p, F.lit("?")).alias("question"))))
-    return F.filter(F.flatten(split), lambda c: c["text"] != "")
+    """Clauses of a text, as structs (text, question): what lies between marks and line ends, cut once more where it turns. A question mark holds for all that it ends."""
+    marked = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?;,]+)", "$1\n"), "\n")
+    halves = lambda part: F.transform(F.split(part, CONTRAST), lambda half: F.struct(F.trim(F.rtrim(half, F.lit(".!?;, "))).alias("text"), F.contains(part, F.lit("?")).alias("question")))
+    return F.filter(F.flatten(F.transform(marked, halves)), lambda c: c["text"] != "")
+
+
+def weighed(clause: Column) -> Column:
+    """How much speaks for money being there in a clause (text, question)."""
+    plain = F.regexp_replace(F.regexp_replace(F.translate(F.lower(clause["text"]), "’‘`", "'''"), r"n't\b", " not"), "[^a-z0-9]+", " ")
+
+    def score(words: Column) -> Column:
+        held = lambda cues: F.size(F.filter(F.array(*[F.lit(f" {c} ") for c in cues]), lambda c: F.contains(words, c)))
+        asks = F.substring_index(F.ltrim(words), " ", 1).isin(*AUXILIARY) | clause["question"]
+        return held(THERE) * FOR_IT - held(AGAINST) * AGAINST_IT - F.when(asks, AGAINST_IT).otherwise(0)
+
+    return let(F.concat(F.lit(" "), F.trim(plain), F.lit(" ")), score)
 
 
 def is_resolved(clause: Column) -> Column:
-    """Whether a clause (text, question) reports that money arrived, without a question, a negation or a doubt."""
-    norm = F.regexp_replace(F.regexp_replace(F.lower(clause["text"]), "[’‘`]", "'"), r"n't\b", "nt")
-    return ~clause["question"] & norm.rlike(ARRIVED) & ~norm.rlike(DOUBT) & ~norm.rlike(ASKS)
+    """Whether a clause (text, question) reports that money arrived."""
+    return weighed(clause) > 0
 
 
 def flows(text: Column) -> Column:
@@ -68,25 +81,6 @@ def products(text: Column, norm: Column | None = None) -> Column:
     return let(F.coalesce(normalised(text) if norm is None else norm, F.lit("")), named)
 
 
-def is_generic(word: Column) -> Column:
-    """Whether a word, or what it inflects, carries no topic."""
-    out = word.isin(*GENERIC)
-    for suffix in SUFFIXES:
-        base = F.substring(word, F.lit(1), F.length(word) - len(suffix))
-        out = out | ((F.length(word) > len(suffix) + 2) & F.endswith(word, F.lit(suffix)) & (base.isin(*GENERIC) | F.concat(base, F.lit("e")).isin(*GENERIC)))
-    return out
-
-
-def content_terms(text: Column) -> Column:
-    """Stems of the words that are neither noise nor generic, sorted, each once."""
-    return F.array_sort(F.array_distinct(F.transform(F.filter(tokens(text), lambda t: ~is_noise(t) & ~is_generic(t)), stem)))
-
-
-def keywords(text: Column, personal: Column, most: int = 12) -> Column:
-    """The first words of a text that aren't noise, generic or personal; a keyword list has `most` at most."""
-    return F.slice(F.array_distinct(F.filter(tokens(text), lambda t: ~is_noise(t) & ~is_generic(t) & ~F.array_contains(personal, t))), 1, most)
-
-
 def wait_hours(text: Column) -> Column:
     """Hours of the longest stated wait: a count of hours, days or weeks within 40 characters of a word of waiting; null if there is none."""
     near = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"(({WAITING})[^.!?]{{0,40}}?)(\d+) (hour|day|week)s?"), F.lit(0))

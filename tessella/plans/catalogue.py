@@ -12,7 +12,7 @@ AT = "2024-06-01 00:00:00"
 _LIB = """macros AS (SELECT p_partkey AS macro_id, p_name || ' ' || CAST(p_partkey % 40 AS VARCHAR) AS title, CASE WHEN p_size % 9 > 0 THEN p_brand END AS category_id, [p_type, lower(p_type), ' ' || p_brand, ''] AS tags, p_size % 10 = 0 AS is_favorite,
  CASE WHEN p_size > 45 THEN TIMESTAMP '2024-01-01 00:00:00' + to_days(p_size) END AS archived_at, TIMESTAMP '2024-01-01 00:00:00' + to_days(p_size) AS updated_at FROM part),
 versions AS (SELECT l_partkey AS macro_id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS version, l_returnflag || ' body ' || CAST(CAST(l_quantity AS INTEGER) % 5 AS VARCHAR) AS body FROM lineitem),
-facts AS (SELECT l_partkey AS macro_id, 'f' || CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) || '_' || CAST(l_suppkey AS VARCHAR) AS fact_key, 'Line of ' || CAST(l_orderkey AS VARCHAR) AS statement, CASE WHEN l_returnflag = 'R' AND l_quantity > 40 THEN 'contradicted' WHEN l_returnflag = 'A' AND l_quantity > 30 THEN 'outdated' WHEN l_returnflag = 'N' THEN 'verified' ELSE 'unchecked' END AS status, l_quantity AS q FROM lineitem WHERE l_quantity > 20),
+facts AS (SELECT l_partkey AS macro_id, 'f' || CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) || '_' || CAST(l_suppkey AS VARCHAR) AS fact_key, 'Line of ' || CAST(l_orderkey AS VARCHAR) AS statement, CASE WHEN l_returnflag = 'R' AND l_quantity > 40 THEN 'contradicted' WHEN l_returnflag = 'A' AND l_quantity > 30 THEN 'outdated' WHEN l_returnflag = 'N' THEN 'verified' ELSE 'unchecked' END AS status, l_quantity AS q FROM lineitem),
 current AS (SELECT macro_id, max(version) AS current_version, max_by(body, version) AS body FROM versions GROUP BY macro_id),
 categories AS (SELECT DISTINCT p_brand AS category_id, upper(p_brand) AS name FROM part WHERE p_brand <> 'Brand#1'),
 uses AS (SELECT user_id AS macro_id, ts FROM events WHERE event_type = 'purchase'), counted AS (SELECT macro_id, count(*) AS use_count, max(ts) AS last_used FROM uses GROUP BY macro_id),
@@ -36,7 +36,7 @@ def _library(spark, d) -> dict[str, DataFrame]:
     flag, q = F.col("l_returnflag"), F.col("l_quantity")
     status = F.when((flag == "R") & (q > 40), "contradicted").when((flag == "A") & (q > 30), "outdated").when(flag == "N", "verified").otherwise("unchecked")
     key = F.concat(F.lit("f"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"), F.lit("_"), F.col("l_suppkey").cast("string"))
-    facts = lines.where("l_quantity > 20").select(F.col("l_partkey").alias("macro_id"), key.alias("fact_key"), F.concat(F.lit("Line of "), F.col("l_orderkey").cast("string")).alias("statement"), status.alias("status"), q.alias("q"))
+    facts = lines.select(F.col("l_partkey").alias("macro_id"), key.alias("fact_key"), F.concat(F.lit("Line of "), F.col("l_orderkey").cast("string")).alias("statement"), status.alias("status"), q.alias("q"))
     newest = versions.groupBy("macro_id").agg(F.max("version").alias("current_version"))
     uses = _t(spark, d, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("macro_id"), "ts")
     categories = part.where("p_brand <> 'Brand#1'").select(F.col("p_brand").alias("category_id"), F.upper("p_brand").alias("name")).distinct()

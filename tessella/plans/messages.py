@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import classify, signals, text
-from tessella.operators import intents
+from tessella.operators import intents, terms
 from tessella.plans.queries import _NOISE, _stem_sql, _t, _tokens_sql, query
 
 OPENERS = ("This is a scam!!!", "Still waiting,", "How do I verify my account?", "Thank you, great support.", "I lost everything and can't stop.", "NOT HAPPY WITH THIS", "Hello,")
@@ -81,12 +81,20 @@ def intent_scores(spark, d):
     return _scores(spark, d)
 
 
+_CLAUSE = r"c AS (SELECT o_orderkey, trim(rtrim(x, '.!?;, ')) AS text, contains(p, '?') AS question FROM (SELECT o_orderkey, p, unnest(regexp_split_to_array(p, '(?i)\s(?:but|however|though)\s')) AS x FROM (SELECT o_orderkey, unnest(string_split(regexp_replace(message, '([.!?;,]+)', '\1' || chr(10), 'g'), chr(10))) AS p FROM m)))"
+_FLOW = "CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9])({})($|[^a-z0-9])') THEN '{}' END"
+_FLOWS = "[" + ", ".join(_FLOW.format("|".join(w), n) for n, w in signals.FLOWS.items()) + "]"
+_HELD = "len(list_filter({}, lambda w: contains(' ' || trim(regexp_replace(regexp_replace(lower(text), 'n''t\\b', ' not', 'g'), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || w || ' ')))"
+_ASKING = "(question OR regexp_extract(lower(text), '[a-z0-9]+') IN ({}))".format(", ".join(f"'{w}'" for w in signals.AUXILIARY))
+_DONE = f"({_HELD.format(_sql_list(signals.THERE))} * {signals.FOR_IT} > {_HELD.format(_sql_list(signals.AGAINST))} * {signals.AGAINST_IT} + CASE WHEN {_ASKING} THEN {signals.AGAINST_IT} ELSE 0 END)"
+_STATE = f"s AS (SELECT o_orderkey, flow, bool_or(done) AS done, bool_or(NOT done) AS open FROM (SELECT o_orderkey, {_DONE} AS done, unnest({_FLOWS}) AS flow FROM c WHERE text <> '') WHERE flow IS NOT NULL GROUP BY ALL)"
 # each message's questions are those of its clauses with a question mark; their intent is the best of the clause's own words
-_ASKED = "asked AS (SELECT o_orderkey, CASE WHEN o_custkey % 12 = 2 THEN 'bonus' WHEN o_orderkey % 7 = 2 THEN 'verification' END AS intent FROM orders WHERE o_custkey % 12 = 2 OR o_orderkey % 7 = 2 UNION ALL SELECT o_orderkey, 'verification' FROM orders WHERE o_custkey % 12 = 2 AND o_orderkey % 7 = 2)"
-_MACROS = "macro_intents AS (SELECT p_partkey AS macro_id, unnest([['withdrawal_status', 'complaint'], ['deposit_missing'], ['bonus'], ['verification', 'account_access'], ['technical'], ['general']][p_partkey % 6 + 1]) AS intent FROM part WHERE p_partkey < 60)"
+_ASKED = f"""{_CLAUSE}, cq AS (SELECT o_orderkey, row_number() OVER () AS cid, lower(text) AS norm FROM c WHERE question AND text <> ''), cs AS (SELECT cid, unnest([{_SCORES}]) AS x FROM cq),
+asked AS (SELECT o_orderkey, coalesce(x.intent, 'general') AS intent FROM cq LEFT JOIN (SELECT cid, x FROM cs WHERE x.score >= 0.15 QUALIFY row_number() OVER (PARTITION BY cid ORDER BY x.score DESC, x.intent) = 1) USING (cid))"""
+_MACROS = "macro_intents AS (SELECT p_partkey AS macro_id, unnest([['withdrawal_status', 'complaint'], ['deposit_missing'], ['bonus'], ['verification', 'account_access'], ['technical'], ['general']][p_partkey % 6 + 1]) AS intent FROM part)"
 RELATED = (("withdrawal_status", "deposit_missing"), ("verification", "account_access"), ("bonus", "complaint"))
 _RELATED = "related AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}'), ('{b}', '{a}')" for a, b in RELATED) + ") t(a, b))"
-_WEIGHTS = "weights AS (SELECT o_orderkey, intent, max(w) AS weight FROM (SELECT o_orderkey, intent, least(greatest(score, 0), 1) AS w FROM top UNION ALL SELECT o_orderkey, intent, 0.5 FROM asked) GROUP BY ALL)"
+_WEIGHTS = "weights AS (SELECT o_orderkey, intent, max(w) AS weight FROM (SELECT o_orderkey, intent, least(greatest(score, 0), 1) AS w FROM top UNION ALL SELECT o_orderkey, intent, 0.5 FROM asked WHERE intent <> 'general') GROUP BY ALL)"
 _WANTED = "wanted AS (SELECT DISTINCT o_orderkey, intent FROM (SELECT o_orderkey, intent FROM top WHERE score >= 0.35 UNION ALL SELECT o_orderkey, intent FROM asked) WHERE intent <> 'general')"
 
 
@@ -99,7 +107,7 @@ def _asked(spark, d) -> DataFrame:
 def _macro_intents(spark, d) -> DataFrame:
     kinds = (("withdrawal_status", "complaint"), ("deposit_missing",), ("bonus",), ("verification", "account_access"), ("technical",), ("general",))
     listed = F.array(*[F.array(*[F.lit(x) for x in k]) for k in kinds])
-    return _t(spark, d, "part").where("p_partkey < 60").select(F.col("p_partkey").alias("macro_id"), F.explode(F.element_at(listed, (F.col("p_partkey") % 6 + 1).cast("int"))).alias("intent"))
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("macro_id"), F.explode(F.element_at(listed, (F.col("p_partkey") % 6 + 1).cast("int"))).alias("intent"))
 
 
 def _related(spark) -> DataFrame:
@@ -109,7 +117,7 @@ def _related(spark) -> DataFrame:
 KEYS = ["o_orderkey"]
 
 
-@query(f"WITH {_ASKED} SELECT o_orderkey, intent, count(*) AS n_questions FROM asked GROUP BY ALL")
+@query(f"WITH {_M}, {_ASKED} SELECT o_orderkey, intent, count(*) AS n_questions FROM asked GROUP BY ALL")
 def question_intents(spark, d):
     """How many questions of a message ask for each intent."""
     return intents.question_counts(_asked(spark, d), KEYS)
@@ -129,27 +137,29 @@ def wanted_intents(spark, d):
 
 
 @query(f"""WITH {_M}, {_TOP}, {_ASKED}, second AS (SELECT o_orderkey, bool_or(place > 1 AND score >= 0.35 AND intent <> 'general') AS s FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY score DESC, intent) AS place FROM top) GROUP BY o_orderkey)
-SELECT o_orderkey, s OR coalesce(n, 0) >= 2 AS multi_topic FROM second LEFT JOIN (SELECT o_orderkey, count(DISTINCT intent) AS n FROM asked GROUP BY o_orderkey) USING (o_orderkey)""")
+SELECT o_orderkey, s OR coalesce(n, 0) >= 2 AS multi_topic FROM second LEFT JOIN (SELECT o_orderkey, count(DISTINCT intent) AS n FROM asked WHERE intent <> 'general' GROUP BY o_orderkey) USING (o_orderkey)""")
 def multi_topic(spark, d):
     """Whether a message asks for more than one thing."""
     return intents.multi_topic(_scores(spark, d), _asked(spark, d), KEYS)
 
 
-@query(f"""WITH {_M}, {_TOP}, {_ASKED}, {_WEIGHTS}, {_MACROS}, {_RELATED},
-pairs AS (SELECT o_orderkey, macro_id, weight AS score, NULL AS related_to FROM weights JOIN macro_intents USING (intent) UNION ALL SELECT o_orderkey, macro_id, weight * 0.5, w.intent FROM macro_intents i JOIN related r ON r.a = i.intent JOIN weights w ON w.intent = r.b)
-SELECT o_orderkey, macro_id, CAST(score AS DOUBLE) AS score, related_to FROM pairs WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY o_orderkey, macro_id ORDER BY score DESC, related_to IS NULL DESC, related_to DESC) = 1""")
+@query(f"""WITH {_M}, {_TOP}, {_ASKED}, {_WEIGHTS}, {_MACROS}, {_RELATED}, sets AS (SELECT own, count(*) AS n_macros FROM (SELECT macro_id, list_sort(list(intent)) AS own FROM macro_intents GROUP BY macro_id) GROUP BY own), each AS (SELECT own, unnest(own) AS intent FROM sets),
+pairs AS (SELECT o_orderkey, own, weight AS score, NULL AS related_to FROM weights JOIN each USING (intent) UNION ALL SELECT o_orderkey, own, weight * 0.5, w.intent FROM each i JOIN related r ON r.a = i.intent JOIN weights w ON w.intent = r.b)
+SELECT o_orderkey, own AS macro_intents, n_macros, CAST(score AS DOUBLE) AS score, related_to FROM pairs JOIN sets USING (own) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY o_orderkey, own ORDER BY score DESC, related_to IS NULL DESC, related_to DESC) = 1""")
 def match_intents(spark, d):
-    """Best intent match of each message and macro, exact or related."""
-    return intents.matched(intents.weights(_scores(spark, d), _asked(spark, d), KEYS), _macro_intents(spark, d), _related(spark), KEYS)
+    """Best intent match, exact or related, of each message and each set of intents that macros have; all macros of a set match alike."""
+    sets = _macro_intents(spark, d).groupBy("macro_id").agg(F.array_sort(F.collect_list("intent")).alias("macro_intents")).groupBy("macro_intents").agg(F.count("*").alias("n_macros"))
+    matched = intents.matched(intents.weights(_scores(spark, d), _asked(spark, d), KEYS), sets.select(F.col("macro_intents").alias("macro_id"), F.explode("macro_intents").alias("intent")), _related(spark), KEYS)
+    return matched.withColumnRenamed("macro_id", "macro_intents").join(sets, "macro_intents").select("o_orderkey", "macro_intents", "n_macros", "score", "related_to")
 
 
-_CHOSEN = "chosen AS (SELECT o_orderkey, o_custkey % 60 AS macro_id FROM orders)"
+_CHOSEN = "chosen AS (SELECT o_orderkey, o_custkey AS macro_id FROM orders)"
 
 
 @query(f"WITH {_M}, {_TOP}, {_ASKED}, {_WANTED}, {_MACROS}, {_CHOSEN} SELECT o_orderkey, macro_id, intent FROM chosen JOIN macro_intents USING (macro_id) JOIN wanted USING (o_orderkey, intent)")
 def covers_intents(spark, d):
     """Intents of a chosen macro that its message asks for."""
-    chosen = _t(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 60).alias("macro_id"))
+    chosen = _t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("macro_id"))
     return intents.covered(intents.wanted(_scores(spark, d), _asked(spark, d), KEYS), _macro_intents(spark, d), chosen, KEYS)
 
 
@@ -157,14 +167,14 @@ def covers_intents(spark, d):
 SELECT o_orderkey, intent FROM wanted WHERE (o_orderkey, intent) NOT IN (SELECT o_orderkey, intent FROM has)""")
 def uncovered_intents(spark, d):
     """Wanted intents that neither a chosen macro's intents nor related ones cover."""
-    chosen = _t(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 60).alias("macro_id"))
+    chosen = _t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("macro_id"))
     return intents.uncovered(intents.wanted(_scores(spark, d), _asked(spark, d), KEYS), _macro_intents(spark, d), _related(spark), chosen, KEYS)
 
 
-@query(f"WITH {_ASKED}, {_MACROS}, {_CHOSEN} SELECT DISTINCT o_orderkey, intent FROM asked WHERE (o_orderkey, intent) NOT IN (SELECT o_orderkey, intent FROM chosen JOIN macro_intents USING (macro_id))")
+@query(f"WITH {_M}, {_ASKED}, {_MACROS}, {_CHOSEN} SELECT DISTINCT o_orderkey, intent FROM asked WHERE (o_orderkey, intent) NOT IN (SELECT o_orderkey, intent FROM chosen JOIN macro_intents USING (macro_id))")
 def unanswered_questions(spark, d):
     """Intents of questions that no chosen macro answers."""
-    chosen = _t(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 60).alias("macro_id"))
+    chosen = _t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("macro_id"))
     asked = _asked(spark, d).withColumn("place", F.lit(0))
     return intents.unanswered(asked, chosen, _macro_intents(spark, d), KEYS).select("o_orderkey", "intent").distinct()
 
@@ -177,13 +187,6 @@ def foreign_terms(spark, d):
     return intents.foreign_terms(rows, ["grp"])
 
 
-_CLAUSE = r"c AS (SELECT o_orderkey, trim(regexp_replace(x, '[.!?;,\n]+$', '')) AS text, contains(p, '?') AS question FROM (SELECT o_orderkey, p, unnest(regexp_split_to_array(p, '(?i)\s+(?:but|however|though)\s+')) AS x FROM (SELECT o_orderkey, unnest(regexp_extract_all(message, '[^.!?;,\n]+[.!?;,\n]*')) AS p FROM m)))"
-_FLOW = "CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9])({})($|[^a-z0-9])') THEN '{}' END"
-_FLOWS = "[" + ", ".join(_FLOW.format("|".join(w), n) for n, w in signals.FLOWS.items()) + "]"
-_DONE = f"(NOT question AND regexp_matches(lower(text), '{signals.ARRIVED}') AND NOT regexp_matches(regexp_replace(lower(text), 'n''t\\b', 'nt', 'g'), '{signals.DOUBT}') AND NOT regexp_matches(lower(text), '{signals.ASKS}'))"
-_STATE = f"s AS (SELECT o_orderkey, flow, bool_or(done) AS done, bool_or(NOT done) AS open FROM (SELECT o_orderkey, {_DONE} AS done, unnest({_FLOWS}) AS flow FROM c WHERE text <> '') WHERE flow IS NOT NULL GROUP BY ALL)"
-
-
 @query(f"WITH {_M}, {_CLAUSE}, {_STATE} SELECT o_orderkey, coalesce(list_sort(list(flow) FILTER (WHERE done AND NOT open)), []) AS resolved FROM m LEFT JOIN s USING (o_orderkey) GROUP BY o_orderkey")
 def resolved_flows(spark, d):
     """Money flows that a message reports as arrived and doesn't leave open."""
@@ -209,20 +212,29 @@ def product_mismatch(spark, d):
     return p.select("o_orderkey", "products", intents.product_mismatch(F.col("products"), F.col("own")).alias("mismatch"))
 
 
-_GENERIC_LIST = ", ".join(f"'{w}'" for w in signals.GENERIC)
-_GENERIC = f"(token IN ({_GENERIC_LIST})" + "".join(f" OR (length(token) > {len(s) + 2} AND token LIKE '%{s}' AND (left(token, length(token) - {len(s)}) IN ({_GENERIC_LIST}) OR left(token, length(token) - {len(s)}) || 'e' IN ({_GENERIC_LIST})))" for s in signals.SUFFIXES) + ")"
+_WORDS = f"w AS (SELECT o_orderkey, token, min(pos) AS pos FROM (SELECT o_orderkey, unnest({_tokens_sql('message')}) AS token, generate_subscripts({_tokens_sql('message')}, 1) AS pos FROM m) WHERE NOT {_NOISE} GROUP BY ALL), generic AS (SELECT token FROM w GROUP BY token HAVING count(*) > {terms.GENERIC_SHARE} * (SELECT count(*) FROM m))"
 
 
-@query(f"WITH {_M}, t AS (SELECT o_orderkey, unnest({_tokens_sql('message')}) AS token FROM m) SELECT o_orderkey, list_sort(list_distinct(list({_stem_sql('token')}))) AS terms FROM t WHERE NOT {_NOISE} AND NOT {_GENERIC} GROUP BY o_orderkey")
+@query(f"WITH {_M}, {_WORDS} SELECT o_orderkey, list_sort(list_distinct(list({_stem_sql('token')}))) AS terms FROM w WHERE token NOT IN (SELECT token FROM generic) GROUP BY o_orderkey")
 def content_terms(spark, d):
     """Stems of the words of each message that carry a topic."""
-    return _messages(spark, d).select("o_orderkey", signals.content_terms(F.col("message")).alias("terms")).where(F.size("terms") > 0)
+    return terms.content_terms(_messages(spark, d), ["o_orderkey"], F.col("message"))
+
+
+@query(f"WITH {_M}, {_WORDS} SELECT o_orderkey, list(token ORDER BY pos)[1:{terms.KEYWORDS}] AS keywords FROM w WHERE token NOT IN (SELECT token FROM generic) AND token <> 'usd' GROUP BY o_orderkey")
+def message_keywords(spark, d):
+    """The first words of each message that carry a topic, but for one that shall not be shown."""
+    return terms.keywords(_messages(spark, d), ["o_orderkey"], F.col("message"), F.array(F.lit("USD")))
 
 
 _ENGLISH = ", ".join(f"'{w}'" for w in signals.ENGLISH)
 
 
-@query(f"WITH {_M}, t AS (SELECT o_orderkey, {_tokens_sql('message')} AS w FROM m) SELECT o_orderkey, len(w) >= 8 AND len(list_filter(w, lambda x: x IN ({_ENGLISH}))) / len(w) < 0.05 AS foreign_text FROM t")
+# of a message that has its text in column message
+_FOREIGN = f"(len(regexp_extract_all(message, '\\p{{L}}')) > 0 AND len(regexp_extract_all(message, '\\p{{Latin}}')) < 0.6 * len(regexp_extract_all(message, '\\p{{L}}')) OR len({_tokens_sql('message')}) >= 8 AND len(list_filter({_tokens_sql('message')}, lambda x: x IN ({_ENGLISH}))) / len({_tokens_sql('message')}) < 0.05)"
+
+
+@query(f"WITH {_M} SELECT o_orderkey, {_FOREIGN} AS foreign_text FROM m")
 def non_english(spark, d):
     """Messages that are hardly English."""
     return _messages(spark, d).select("o_orderkey", signals.not_english(F.col("message")).alias("foreign_text"))

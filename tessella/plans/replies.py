@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import classify, signals
 from tessella.operators import replies
-from tessella.plans.messages import _M, _RISKS, _messages
+from tessella.plans.messages import _M, _RISKS, _messages, _FOREIGN
 from tessella.plans.queries import _t, query
 
 _BODIES = """bodies AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS slot, l_partkey % 3 AS k, l_suppkey % 4 AS m, l_partkey % 2 AS c FROM lineitem)"""
@@ -34,13 +34,13 @@ def draft_replies(spark, d):
     return replies.drafted(asked, ["o_custkey"], F.col("c_name"))
 
 
-@query(f"WITH {_M} SELECT o_orderkey, list_filter([CASE WHEN len({_RISKS}) > 0 THEN 'responsible gambling' END, CASE o_orderkey % 3 WHEN 0 THEN 'macro is outdated' WHEN 1 THEN 'macro is conflict' END], lambda x: x IS NOT NULL) AS warnings FROM n")
+@query(f"WITH {_M} SELECT o_orderkey, list_filter([CASE WHEN len({_RISKS}) > 0 THEN 'responsible gambling' END, CASE WHEN {_FOREIGN} THEN 'not in English' END, CASE o_orderkey % 3 WHEN 0 THEN 'macro is outdated' WHEN 1 THEN 'macro is conflict' END], lambda x: x IS NOT NULL) AS warnings FROM n")
 def reply_warnings(spark, d):
     """Warnings that go with the reply to each message."""
     k = F.col("o_orderkey") % 3
     state = F.when(k == 0, "outdated").when(k == 1, "conflict").otherwise("verified")
     m = _messages(spark, d)
-    return m.select("o_orderkey", replies.warnings(classify.phrases(F.col("message"), classify.RISK), F.lit(False) & signals.not_english(F.col("message")), state).alias("warnings"))
+    return m.select("o_orderkey", replies.warnings(classify.phrases(F.col("message"), classify.RISK), signals.not_english(F.col("message")), state).alias("warnings"))
 
 
 @query("SELECT c_custkey, 'Dear ' || c_name || ', code ' || CAST(c_custkey AS VARCHAR) || ' and [X_1].' AS reply FROM customer")
