@@ -125,12 +125,19 @@ def haystack(title: Column, shortcut: Column, tags: Column, category: Column) ->
     return F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), " · ")
 
 
+#: Titles compare by this collation: case and marks don't count.
+COLLATION = "UNICODE_CI_AI"
+
+
 def natural_key(title: Column) -> Column:
-    """Sort key of a title: case and marks don't count, numbers go by value."""
-    plain = F.translate(F.lower(title), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    parts = F.regexp_extract_all(plain, F.lit(r"\d+|\D+"), F.lit(0))
-    padded = F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.lpad(F.regexp_replace(x, r"^0+(?=\d)", ""), 20, "0")).otherwise(x))
-    return F.array_join(padded, "")
+    """Collated sort key of a title: case and marks don't count, numbers of any length go by value.
+
+    A number stands as the count of its digits, in five digits, and the digits themselves, so that collation compares lengths first.
+    """
+    parts = F.regexp_extract_all(title, F.lit(r"\d+|\D+"), F.lit(0))
+    digits = lambda x: F.regexp_replace(x, r"^0+(?=\d)", "")
+    sized = F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.concat(F.lpad(F.length(digits(x)).cast("string"), 5, "0"), digits(x))).otherwise(x))
+    return F.collate(F.array_join(sized, ""), COLLATION)
 
 
 #: Orders of the library list; each ends in the title.

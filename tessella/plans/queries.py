@@ -337,3 +337,4 @@ from tessella.plans import concepts as _concept_queries  # noqa: E402, F401
 from tessella.plans import replies as _reply_queries  # noqa: E402, F401
 from tessella.plans import texts as _text_queries  # noqa: E402, F401
 from tessella.plans import ranking as _ranking_queries  # noqa: E402, F401
+from tessella.plans import turns as _turn_queries  # noqa: E402, F401

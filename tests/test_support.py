@@ -72,8 +72,10 @@ def test_reply_texts(spark):
 
 
 def test_natural_titles(spark):
-    df = spark.createDataFrame([("b 10",), ("B 2",), ("á 1",)], "title string")
-    assert [r["title"] for r in df.orderBy(catalogue.natural_key(F.col("title"))).collect()] == ["á 1", "B 2", "b 10"]
+    titles = ["á 1", "A 2", "Ä 10", "a 0011", "a 999999999999999999999999", "A 1000000000000000000000000", "b", "ß 1", "ST 3", "Élan", "elan b", "Zoë", None]
+    df = spark.createDataFrame([(t,) for t in reversed(titles)], "title string")
+    found = [r["title"] for r in df.orderBy(catalogue.natural_key(F.col("title"))).collect()]
+    assert found == [None, "á 1", "A 2", "Ä 10", "a 0011", "a 999999999999999999999999", "A 1000000000000000000000000", "b", "Élan", "elan b", "ß 1", "ST 3", "Zoë"]
 
 
 def test_diversity(spark):
