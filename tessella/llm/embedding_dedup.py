@@ -11,8 +11,8 @@
    within the threshold are found, their neighbours too (range expansion). Every link is verified in double precision.
    The links of all shards, each once, are counted, and all of them are the edges of the components.
 5. Audit: every class that holds a vec_id divisible by 20 is compared with all vectors of the label, in blocks. The labels of which less than RECALL of
-   these links was found are dealt, built and searched again with more copies, larger shards and a wider search. What the audit finds is linked
-   in any case. audited_links is what brute force finds for such a vector, its copies included, audited_found what the first search found of it,
+   these links was found are dealt, built and searched again with more copies; what still misses links after that is compared in blocks, the exact
+   way for the rest. What the audit finds is linked in any case. audited_links is what brute force finds for such a vector, its copies included, audited_found what the first search found of it,
    audited_held what the result holds.
 
 Cases: a null label, and a vector that is null, empty, zero or holds null, NaN or infinite components link with nothing; equal vectors link
@@ -34,10 +34,8 @@ from pyspark.sql import functions as F
 from tessella.llm.common import components, discard, map_arrow, materialise, with_rows
 
 THRESHOLD = 0.98
-#: Vectors of a shard (twice as many at most, where centres tell them apart).
-SHARD = 200
-#: Cells that a vector goes to in a split, what the shards' size and the search's width are times those of the first search; then those of repeats.
-EFFORT = ((3, 1, 1), (6, 2, 2), (9, 6, 6))
+#: Vectors of a shard (twice as many at most, where centres tell them apart), and cells that a vector goes to in a split, at first and in repeats.
+SHARD, COPIES = 200, (3, 6)
 #: Cells that a cell is split into at once, vectors for each that their centres are fitted on, and rounds of splitting.
 FAN, SAMPLE, ROUNDS = 16, 8, 16
 DEGREE, BEAM, ALPHA = 16, 24, 1.2
@@ -75,7 +73,7 @@ def _nearest(batch: pa.RecordBatch, copies: int) -> pa.Table:
     return pa.table([*kept, pa.array(child, pa.int32()), pa.array(home, pa.bool_())], names=["label", "dim", "cell", "rep", "vec", "child", "home"])
 
 
-def dealt(vectors: DataFrame, shard: int = SHARD, copies: int = EFFORT[0][0]) -> DataFrame:
+def dealt(vectors: DataFrame, shard: int = SHARD, copies: int = COPIES[0]) -> DataFrame:
     """A row for each vector (label, rep, vec) and shard of it: label, dim, cell, home, rep, vec."""
     cells = vectors.select("label", F.size("vec").alias("dim"), F.xxhash64("label", F.size("vec")).alias("cell"), F.lit(True).alias("home"), "rep", "vec")
     done = None
@@ -181,7 +179,7 @@ def _adjacency(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"rep": reps, "near": [reps[g] for g in graph]})
 
 
-def _searched(pdf: pd.DataFrame, threshold: float, beam: int = BEAM) -> pd.DataFrame:
+def _searched(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """All links (a, b), a < b, found from the vectors whose home the shard is."""
     pdf = pdf.sort_values("rep", ignore_index=True)
     x, reps = _unit(pdf), pdf["rep"].to_numpy()
@@ -189,20 +187,19 @@ def _searched(pdf: pd.DataFrame, threshold: float, beam: int = BEAM) -> pd.DataF
     graph = [[place[r] for r in near if r in place] for near in pdf["near"]]
     start = medoid(x)
     mine = np.flatnonzero(pdf["home"].to_numpy()).tolist()
-    found = {p: {o for o, s in _greedy(x[p], x, graph, start, beam, threshold).items() if s >= threshold and o != p} for p in mine}
+    found = {p: {o for o, s in _greedy(x[p], x, graph, start, BEAM, threshold).items() if s >= threshold and o != p} for p in mine}
     here = [(p, o) for p in mine for o in found[p] if p < o or p not in found.get(o, ())]
     one, two = reps[[p for p, _ in here]], reps[[o for _, o in here]]
     return pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two)})
 
 
-def searched(vectors: DataFrame, threshold: float, shard: int, effort: tuple[int, int, int]) -> DataFrame:
+def searched(vectors: DataFrame, threshold: float, shard: int, copies: int) -> DataFrame:
     """The links (a, b) that the graphs over shards give."""
-    copies, larger, wider = effort
-    shards = dealt(vectors, shard * larger, copies)
+    shards = dealt(vectors, shard, copies)
     key = ["label", "dim", "cell"]
     near = shards.groupBy(*key).applyInPandas(_adjacency, "rep long, near array<long>")
     near = materialise(near.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
-    got = shards.join(near, "rep").groupBy(*key).applyInPandas(lambda pdf: _searched(pdf, threshold, BEAM * wider), "a long, b long")
+    got = shards.join(near, "rep").groupBy(*key).applyInPandas(lambda pdf: _searched(pdf, threshold), "a long, b long")
     links = materialise(got.distinct(), "links")
     discard(shards)
     return links
@@ -217,13 +214,14 @@ def audited(classes: DataFrame, threshold: float) -> DataFrame:
 def repaired(links: DataFrame, truth: DataFrame, classes: DataFrame, threshold: float, shard: int) -> DataFrame:
     """The links (a, b) with those that the labels gain of whose audited links less than RECALL is there, and with the audited ones."""
     whole = classes.withColumn("dim", F.size("vec"))
-    for effort in EFFORT[1:]:
+    for copies in (*COPIES[1:], None):
         held = truth.join(links.withColumn("held", F.lit(1)), ["a", "b"], "left")
         short = held.groupBy("label", "dim").agg((F.count("held") / F.count("*")).alias("recall")).where(F.col("recall") < RECALL)
         short = materialise(short.select("label", "dim"), "short")
         if short.isEmpty():
             break
-        more = searched(whole.join(short, ["label", "dim"], "left_semi"), threshold, shard, effort)
+        asked = whole.join(short, ["label", "dim"], "left_semi")
+        more = searched(asked, threshold, shard, copies) if copies else compared(asked, asked, threshold).select("a", "b")
         links = materialise(links.union(more).distinct(), "links")
     return materialise(links.union(truth.select("a", "b")).distinct(), "links")
 
@@ -241,7 +239,7 @@ def op7_embedding_near_dedup(embeddings: DataFrame, threshold: float = THRESHOLD
     rows = rows.withColumn("ok", usable()).withColumn("vec", F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0)))
     classes = rows.where("ok").groupBy("label", "vec").agg(F.min("_row").alias("rep"), F.count("*").alias("n"), F.coalesce(F.bool_or(F.col("vec_id") % AUDIT == 0), F.lit(False)).alias("ask"))
     classes = materialise(classes, "vectors")
-    first = searched(classes, threshold, shard, EFFORT[0])
+    first = searched(classes, threshold, shard, COPIES[0])
     truth = materialise(audited(classes, threshold), "audit")
     links = repaired(first, truth, classes, threshold, shard)
     comps = components(links).withColumnRenamed("node", "rep")

@@ -32,7 +32,7 @@ def test_languages_in_several_matrices(spark):
 
 def test_audited_links_are_linked(spark, monkeypatch):
     """Links that no search finds are linked where the audit finds them; copies count, and a class is asked for by any of its ids."""
-    monkeypatch.setattr(embedding_dedup, "_searched", lambda pdf, threshold, beam=1: pdf.iloc[:0].assign(a=0, b=0)[["a", "b"]])
+    monkeypatch.setattr(embedding_dedup, "_searched", lambda pdf, threshold: pdf.iloc[:0].assign(a=0, b=0)[["a", "b"]])
     rng = np.random.default_rng(2)
     base = rng.normal(size=8)
     near = (base + 0.01 * rng.normal(size=8)).tolist()
