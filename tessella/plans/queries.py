@@ -339,3 +339,4 @@ from tessella.plans import texts as _text_queries  # noqa: E402, F401
 from tessella.plans import ranking as _ranking_queries  # noqa: E402, F401
 from tessella.plans import turns as _turn_queries  # noqa: E402, F401
 from tessella.plans import mentions as _mention_queries  # noqa: E402, F401
+from tessella.plans import imports as _import_queries  # noqa: E402, F401
