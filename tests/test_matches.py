@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+import __spark_entry__ as entry
 from tessella.plans import messages
 
 duckdb = pytest.importorskip("duckdb")
@@ -17,7 +18,7 @@ def test_matches_of_all_macros(spark):
     """The parts joined are a row for each message and each macro of the whole of part that match, as SQL finds them macro by macro."""
     if not os.path.isdir(SF):
         pytest.skip("no test tables")
-    out = messages.match_intents(spark, SF).toPandas()
+    out = entry.queries()["match_intents"](spark, SF).toPandas()
     assert set(out["part"]) == {"match", "member"}
     connection = duckdb.connect()
     for t in ("orders", "part"):
