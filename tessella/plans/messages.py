@@ -147,10 +147,10 @@ def multi_topic(spark, d):
 @query(f"""WITH {_M}, {_TOP}, {_ASKED}, {_WEIGHTS}, {_MACROS}, {_RELATED}, members AS (SELECT macro_id, list_sort(list(intent)) AS own FROM macro_intents GROUP BY macro_id), classes AS (SELECT own, min(macro_id) AS class_id, count(*) AS n_macros FROM members GROUP BY own), each AS (SELECT own, unnest(own) AS intent FROM classes),
 pairs AS (SELECT o_orderkey, own, weight AS score, NULL AS related_to FROM weights JOIN each USING (intent) UNION ALL SELECT o_orderkey, own, weight * 0.5, w.intent FROM each i JOIN related r ON r.a = i.intent JOIN weights w ON w.intent = r.b),
 best AS (SELECT * FROM pairs WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY o_orderkey, own ORDER BY score DESC, related_to IS NULL DESC, related_to DESC) = 1)
-SELECT 'match' AS part, o_orderkey, class_id AS macro_id, class_id, own AS macro_intents, n_macros, CAST(score AS DOUBLE) AS score, related_to FROM best JOIN classes USING (own)
-UNION ALL SELECT 'member', NULL, macro_id, class_id, own, n_macros, NULL, NULL FROM members JOIN classes USING (own)""")
+SELECT 'match' AS part, o_orderkey AS id, class_id, own AS macro_intents, n_macros, CAST(score AS DOUBLE) AS score, related_to FROM best JOIN classes USING (own)
+UNION ALL SELECT 'member', macro_id, class_id, own, n_macros, NULL, NULL FROM members JOIN classes USING (own)""")
 def match_intents(spark, d):
-    """Best intent match, exact or related, of each message and macro: a row `match` for each message and class of macros, under the class's smallest macro_id, and a row `member` for each macro with its class.
+    """Best intent match, exact or related, of each message and macro: a row `match` for each message (id) and class of macros, class_id being its smallest macro_id, and a row `member` for each macro (id) with its class.
 
     A class holds the macros of one set of intents, which all match alike; the two parts joined by class_id are the rows of all messages and macros.
     """
@@ -158,9 +158,9 @@ def match_intents(spark, d):
     classes = F.broadcast(members.groupBy("macro_intents").agg(F.min("macro_id").alias("class_id"), F.count("*").alias("n_macros")))  # a row a set of intents
     each = F.broadcast(classes.select(F.col("class_id").alias("macro_id"), F.explode("macro_intents").alias("intent")))
     matched = intents.matched(intents.weights(_scores(spark, d), _asked(spark, d), KEYS), each, _related(spark), KEYS).join(classes, F.col("macro_id") == F.col("class_id"))
-    shown = ("macro_id", "class_id", "macro_intents", "n_macros")
-    pairs = matched.select(F.lit("match").alias("part"), "o_orderkey", *shown, "score", "related_to")
-    return pairs.unionByName(members.join(classes, "macro_intents").select(F.lit("member").alias("part"), F.lit(None).cast("long").alias("o_orderkey"), *shown, F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("related_to")))
+    shown = ("class_id", "macro_intents", "n_macros")
+    pairs = matched.select(F.lit("match").alias("part"), F.col("o_orderkey").alias("id"), *shown, "score", "related_to")
+    return pairs.unionByName(members.join(classes, "macro_intents").select(F.lit("member").alias("part"), F.col("macro_id").alias("id"), *shown, F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("related_to")))
 
 
 _CHOSEN = "chosen AS (SELECT o_orderkey, o_custkey AS macro_id FROM orders)"

@@ -24,11 +24,11 @@ def test_matches_of_all_macros(spark):
     for t in ("orders", "part"):
         connection.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     n_macros, n_found = connection.execute("select count(*) from part").fetchone()[0], (out["part"] == "member").sum()
-    assert n_found == n_macros and out[out["part"] == "member"]["macro_id"].is_unique
+    assert n_found == n_macros and out[out["part"] == "member"]["id"].is_unique
     connection.execute(f"create table wanted as {EACH}")
     connection.register("out", out)
-    connection.execute("create table got as select m.o_orderkey::bigint as o_orderkey, x.macro_id, m.score, m.related_to from out m join out x using (class_id) where m.part = 'match' and x.part = 'member'")
+    connection.execute("create table got as select m.id as o_orderkey, x.id as macro_id, m.score, m.related_to from out m join out x using (class_id) where m.part = 'match' and x.part = 'member'")
     assert connection.execute("select count(*) from got").fetchone() == connection.execute("select count(*) from wanted").fetchone()
     assert connection.execute("select count(*) from (select o_orderkey, macro_id, round(score, 9), related_to from got except select o_orderkey, macro_id, round(score, 9), related_to from wanted)").fetchone() == (0,)
     # a class's smallest macro stands for it in the pairs
-    assert connection.execute("select count(*) from (select o_orderkey::bigint, macro_id, round(score, 9), related_to from out where part = 'match' except select o_orderkey, macro_id, round(score, 9), related_to from wanted)").fetchone() == (0,)
+    assert connection.execute("select count(*) from (select id, class_id, round(score, 9), related_to from out where part = 'match' except select o_orderkey, macro_id, round(score, 9), related_to from wanted)").fetchone() == (0,)
