@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tessella.functions import signals
-from tessella.operators import terms
+from tessella.operators import lexical, terms
 
 
 def clause(spark, text, question=False):
@@ -42,3 +42,19 @@ def test_answered(spark):
     got = {(r["q"], r["h"], r["shared"], r["n"]) for r in terms.answered(spark.createDataFrame(questions, "q long, terms array<string>"), spark.createDataFrame(heads, "h long, terms array<string>"), ["q"], "h").collect()}
     want = {(q, h, len(set(a) & set(b)), len(set(a))) for q, a in questions for h, b in heads if a and b and len(set(a) & set(b)) >= 0.5 * len(set(a))}
     assert got == want and len(want) > 100
+
+
+def test_messages_with_the_same_terms_are_scored_once(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "ALIKE", 3)
+    macros = spark.createDataFrame([(1, "red wide widget", "economy"), (2, "blue widgets", "economical red"), (3, "green", "brand")], "id long, title string, tags string")
+    index = lexical.field_postings(macros, "id", {"title": F.col("title"), "tags": F.col("tags")})
+    asked = spark.createDataFrame([(k, t) for k in range(10) for t in (("red", "widg") if k % 3 else ("econom", "brand"))], "k long, term string")
+    found = lexical.field_scores(index, asked, "id", ["k"])
+    alone = lexical._field_scores(index, asked, "id", ["k"], lexical.BOOSTS)
+    whole = lambda df: sorted((r["k"], r["id"], round(r["score"], 9)) for r in df.collect())
+    assert whole(found) == whole(alone) and len(whole(found)) > 10
+    # what is scored is a row for each set of terms, not for each message
+    seen = []
+    monkeypatch.setattr(lexical, "_field_scores", lambda index, queries, *a: seen.append(queries.count()) or alone.withColumnRenamed("k", "_set"))
+    lexical.field_scores(index, asked, "id", ["k"])
+    assert seen == [4]
