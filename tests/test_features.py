@@ -10,7 +10,7 @@ duckdb = pytest.importorskip("duckdb")
 ROWS = [(1, "Red wine, red wines; running run ran"), (1, "wine and red cars"), (2, None), (3, "the 12 a"), (4, "only " * 500 + "one"), (None, "first part"), (None, "second part")]
 
 
-@pytest.mark.parametrize("name", ["vectorize"])
+@pytest.mark.parametrize("name", ["doc_len", "vectorize"])
 def test_repeated_ids_are_one_document(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(features, "CHUNK", 5)
     spark.createDataFrame(ROWS, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
