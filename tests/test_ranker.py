@@ -197,3 +197,17 @@ def test_words_as_in_the_jvm(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.explode(text.tokens(F.col("text"))).alias("token"))
     for r in df.unionByName(docs).distinct().select("token", text.stem(F.col("token")).alias("s"), text.is_noise(F.col("token")).alias("n")).collect():
         assert (text.stem_word(r["token"]), text.noise_word(r["token"])) == (r["s"], r["n"]), r
+
+
+def test_blocks_are_packed_once(spark, monkeypatch):
+    """Whatever the number of tiles, each side is written once, and no tile's rows are dealt out by a key; scores are those of one tile."""
+    rows = [(i, f"red wine {'blue ' * (i % 5)} number{i % 7} {'term' + str(i)}") for i in range(40)]
+    docs, asked = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, f"red number{i % 7} term{i} blue") for i in range(20)], "q long, text string")
+    whole = lambda df: sorted((r["q"], r["doc_id"], round(r["bm25"], 6), r["rank"]) for r in df.collect())
+    one = whole(ranker.lexical_top(asked, docs, ["q"], "doc_id", 3))
+    monkeypatch.setattr(ranker, "MESSAGES", 5)
+    monkeypatch.setattr(ranker, "ROWS", 8)
+    many = ranker.lexical_top(asked, docs, ["q"], "doc_id", 3)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "FlatMapCoGroups" not in plan
+    assert whole(many) == one and len(one) == 60
