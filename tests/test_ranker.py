@@ -211,3 +211,10 @@ def test_blocks_are_packed_once(spark, monkeypatch):
     plan = many._jdf.queryExecution().executedPlan().toString()
     assert "CoGroup" not in plan and "FlatMapCoGroups" not in plan
     assert whole(many) == one and len(one) == 60
+
+
+def test_terms_are_counted_before_they_are_joined(spark):
+    rows = spark.createDataFrame([(1, ["a", "b"], [1, 2])], "id long, text_terms array<string>, text_counts array<long>")
+    asked = spark.createDataFrame([(1, "a", 1.0)], "q long, term string, weight double")
+    plan = ranker.weighted_terms(asked, rows, ["q"], "id", {"text": 1.0}).select("q", "weights")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.index("LeftSemi") < plan.index("Aggregate [field")
