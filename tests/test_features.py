@@ -26,3 +26,16 @@ def test_repeated_ids_are_one_document(spark, tmp_path, monkeypatch, name):
 def test_nothing_is_dealt_out(spark):
     df = spark.createDataFrame(ROWS[:1] + ROWS[2:5], "doc_id long, text string")
     assert features.measured(features.whole_texts(df, "doc_id", "text"), "doc_id", F.col("text"), vectors=True)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 0
+
+
+def test_what_is_kept_is_a_compressed_table(spark, tmp_path, monkeypatch):
+    before = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    try:
+        vectors = features.featured(spark.createDataFrame([(i, f"red wine {i}") for i in range(300)], "id long, text string"), ["id"], {"text": F.col("text")})
+        kept = features.kept(vectors)
+        assert sorted(map(tuple, kept.select("id", "text_terms").collect())) == sorted(map(tuple, vectors.select("id", "text_terms").collect()))
+        assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 300 * features.DIM
+    finally:
+        if before:
+            spark.sparkContext.setCheckpointDir(before)
